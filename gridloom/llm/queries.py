@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, langid, toxicity
 from gridloom.llm.common import table
 
 
@@ -15,8 +15,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every whole text, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
