@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, toxicity
+from gridloom.llm import bpe, langid, mixing, ogg, toxicity
 from gridloom.llm.common import table
 
 
@@ -15,6 +16,34 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights of their sources: how many words of each the mix takes."""
+    planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST) AS k FROM r),
+c AS (SELECT a.k, a.w, a.source_size,
+        ((SELECT sum(source_size) FROM o) - 3 * coalesce((SELECT sum(b.source_size) FROM o b WHERE b.k < a.k), 0))::DOUBLE AS rest,
+        ((SELECT sum(w) FROM o) - coalesce((SELECT sum(b.w) FROM o b WHERE b.k < a.k), 0))::DOUBLE AS share FROM o a),
+l AS (SELECT k, rest, share FROM c WHERE rest * w <= 3 * source_size * share ORDER BY k LIMIT 1),
+t AS (SELECT o.source, o.source_size, CASE WHEN o.source_size = 0 THEN 0.0::DOUBLE WHEN l.k IS NULL OR o.k < l.k THEN (3 * o.source_size)::DOUBLE ELSE o.w * l.rest / l.share END AS target FROM o LEFT JOIN l ON true),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+        ('0x' || substr(md5('gridloom-mix-1:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM p
+"""
+
+
+def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored in Ogg, read back and described."""
+    return ogg.digests(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -28,9 +57,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_ogg": op2_ogg,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
+}
