@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, mixing, ogg, toxicity
+from gridloom.llm import bpe, langid, mixing, ogg, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -44,6 +44,21 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, and what is read back from them."""
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top, sha1(html) AS hex FROM p),
+g AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT) AS fives FROM m),
+b AS (SELECT *, list_transform(fives, lambda v: list_aggregate(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> k) & 31) + 1, 1)), 'string_agg', '')) AS parts FROM g)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, list_aggregate(parts, 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM b
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -59,6 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ogg": op2_ogg,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op10_language": op10_language,
@@ -66,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op4_warc": OP4_SQL,
 }
