@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, mixing, ogg, toxicity, warc
+from gridloom.llm import bpe, langid, linedup, minhash, mixing, ogg, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -65,6 +65,27 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.dedup(table(spark, sf_dir, "documents")).drop("node")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the three-line windows that occurred before."""
+    return linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+i AS (SELECT doc_id, l, unnest(range(len(l) - 2)) AS i FROM d WHERE len(l) >= 3),
+w AS (SELECT doc_id, i, array_to_string(l[i + 1 : i + 3], chr(10)) AS t FROM i),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS rn FROM w WHERE NOT regexp_full_match(t, '\s*')),
+g AS (SELECT doc_id, list(i) AS starts FROM r WHERE rn > 1 GROUP BY doc_id),
+k AS (SELECT d.doc_id, d.text, d.l, g.starts, CASE WHEN g.starts IS NULL THEN d.l ELSE list_filter(d.l, lambda x, n: NOT list_has_any(g.starts, [n - 1, n - 2, n - 3])) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept), 0)::BIGINT AS n_removed FROM k
+"""
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -77,10 +98,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_minhash": op8_minhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op4_warc": OP4_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
