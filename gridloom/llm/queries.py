@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, linedup, minhash, mixing, ogg, toxicity, warc
+from gridloom.llm import bpe, embeddings, langid, linedup, minhash, mixing, ogg, toxicity, warc
 from gridloom.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all vectors."""
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, and what is read back from them."""
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
@@ -95,6 +100,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ogg": op2_ogg,
+    "op3_embeddings": op3_embeddings,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
