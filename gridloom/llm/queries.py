@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, embeddings, langid, linedup, minhash, mixing, ogg, toxicity, warc
+from gridloom.llm import bpe, embeddings, langid, linedup, minhash, mixing, ogg, pii, toxicity, warc
 from gridloom.llm.common import table
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text."""
+    return pii.report(pii.extract(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embeddings": op3_embeddings,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_bpe": op7_bpe,
     "op8_minhash": op8_minhash,
     "op9_line_dedup": op9_line_dedup,
