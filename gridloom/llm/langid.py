@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_remainder
+from gridloom.llm.common import crc_remainder, settle
 
 BITS = 16
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
+BROADCAST_LANGUAGES = 10_000
 _letters: np.ndarray | None = None
 
 
@@ -172,7 +173,9 @@ def fit_rows(rows: list[tuple[str, bool, np.ndarray, np.ndarray]]) -> Model:
 def fit(docs: DataFrame, per_language: int = 400) -> Model:
     """Learn from labelled texts outside the held-out fold, about `per_language` of each language."""
     allowed = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 4) != 2))
-    share = allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
+    share = settle(allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "languages")
+    if share.count() <= BROADCAST_LANGUAGES:  # else the rows are shuffled by language
+        share = F.broadcast(share)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("of_lang") < F.lit(per_language * (1 << 30))
     chosen = allowed.join(share, "lang").filter(pick).select("lang", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0).alias("held"), "text")
 
