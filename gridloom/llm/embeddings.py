@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle
-from gridloom.llm.graph import compare, components, in_blocks
+from gridloom.llm.graph import compare, components, forest, in_blocks
 
 TABLES, WIDTH_K, STEP = 40, 10, 2.0
 COSINE = 0.9
@@ -69,24 +69,6 @@ def usable(vector: list | None) -> bytes | None:
     return (x + 0.0).tobytes() if np.isfinite(norm) and norm > 0 else None
 
 
-def forest(linked: np.ndarray, nodes: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of a symmetric link matrix: (node, its tree's first node)."""
-    todo = linked.any(1)
-    a, b = [], []
-    while todo.any():
-        first = int(todo.argmax())
-        front, tree = np.zeros(len(todo), bool), np.zeros(len(todo), bool)
-        front[first] = tree[first] = True
-        while front.any():
-            front = linked[front].any(0) & ~tree
-            tree |= front
-        todo &= ~tree
-        tree[first] = False
-        a += nodes[tree].tolist()
-        b += [int(nodes[first])] * int(tree.sum())
-    return a, b
-
-
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row a vector: `id_col`, n_links, component_id (the smallest id reachable) and kept."""
     id_type = vectors.schema[id_col].dataType.simpleString()

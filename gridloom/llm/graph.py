@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,24 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+def forest(linked: np.ndarray, nodes: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of a symmetric link matrix: (node, its tree's first node)."""
+    todo = linked.any(1)
+    a, b = [], []
+    while todo.any():
+        first = int(todo.argmax())
+        front, tree = np.zeros(len(todo), bool), np.zeros(len(todo), bool)
+        front[first] = tree[first] = True
+        while front.any():
+            front = linked[front].any(0) & ~tree
+            tree |= front
+        todo &= ~tree
+        tree[first] = False
+        a += nodes[tree].tolist()
+        b += [int(nodes[first])] * int(tree.sum())
+    return a, b
+
+
 def in_blocks(members: DataFrame, node: str, block: int) -> DataFrame:
     """`members` (key, n: the key's members, `node`, ...) dealt to pairs of blocks of about `block` members.
 

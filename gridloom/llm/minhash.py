@@ -13,7 +13,9 @@ position left out: 48 keys of three values, exact in 64 bits.
 Equal sets are one class from the start.  Classes that share a key meet in three steps, none of which
 makes the pairs of a group: every class is checked against the nearest of its keys' smallest members;
 links are contracted; then members of a key that are still apart are compared by signature, in
-blocks, and the pairs within the distance are checked.  Every check is exact, on the full sets.
+blocks that hand on a spanning forest of the pairs within the distance; the trees of these forests
+are families, whose members are checked in blocks again, skipping what is joined by then.  Every
+check is exact, on the full sets.
 
 Defined results: words are what is left of a lower-cased text (A-Z only) between ASCII white space;
 fewer than five words make one shingle, none makes an empty set, linked with nothing; repeated rows
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle
-from gridloom.llm.graph import compare, components, in_blocks
+from gridloom.llm.graph import compare, components, forest, in_blocks
 
 SHINGLE = 5
 POSITIONS, CHUNK = 48, 4
@@ -39,7 +41,7 @@ CHUNKS = POSITIONS // CHUNK
 ERRORS = 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK = 1024
+BLOCK, TEXT_BLOCK = 1024, 256
 CACHE_MAX = 500_000
 #: Odd multipliers and offsets of the min-hashes.
 _rng = np.random.default_rng(8)
@@ -175,43 +177,84 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def apart(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key, are within the distance, and are in different components; each once."""
+    """A spanning forest (a, b) of the pairs that share a key, are within the distance, and are in different components."""
     placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2").select("key", "n")
     payload = classes.select("node", F.col("n").alias("size"), "sig")
     dealt = in_blocks(placed.join(split, "key").join(payload, "node"), "node", BLOCK)
 
     def kernel(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        own, node, root, size = (group.column(c).to_numpy() for c in ("own", "node", "root", "size"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        key_at = int(group.column("key")[0].as_py() >> 48)
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        keys = keys_of(sig)
-        found_a, found_b = [], []
-        for i in left:
-            js = right[right > i] if p == q else right
-            js = js[(root[js] != root[i]) & (np.minimum(size[js], size[i]) * DENOMINATOR >= np.maximum(size[js], size[i]) * NUMERATOR)]
-            if len(js):
-                js = js[(sig[js] != sig[i]).sum(1) <= DISTANCE]
-            if len(js):
-                # A pair counts in the first key that it shares.
-                js = js[(keys[js] == keys[i]).argmax(1) == key_at]
-            found_a += [node[i]] * len(js)
-            found_b += node[js].tolist()
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+        node = group.column("node").to_numpy()
+        linked = np.zeros((len(node), len(node)), bool)
+        for i, js in candidates(group):
+            linked[i, js] = linked[js, i] = True
+        a, b = forest(linked, node)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return compare(dealt, ["node", "root", "size", "sig"], kernel, "a bigint, b bigint")
 
 
+def candidates(group: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows i of block p with the rows of block q that are within the distance, of a fitting size and in another component."""
+    p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+    own, root, size = (group.column(c).to_numpy() for c in ("own", "root", "size"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    for i in left:
+        js = right[right > i] if p == q else right
+        js = js[(root[js] != root[i]) & (np.minimum(size[js], size[i]) * DENOMINATOR >= np.maximum(size[js], size[i]) * NUMERATOR)]
+        if len(js):
+            js = js[(sig[js] != sig[i]).sum(1) <= DISTANCE]
+        if len(js):
+            yield int(i), js
+
+
+def resolved(families: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of the same family (node, root: its family), enough to connect all that are linked.
+
+    A family's members are compared in blocks; within a block, sets are checked exactly, and a pair
+    that links found before have joined already is skipped.
+    """
+    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    members = families.join(sizes, "root").select(F.col("root").alias("key"), "node", "n")
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = members.join(classes.select("node", F.col("n").alias("size"), "sig"), "node").join(texts, "node")
+    dealt = in_blocks(members, "node", TEXT_BLOCK)
+
+    def kernel(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, size = group.column("node").to_numpy(), group.column("size").to_numpy()
+        label = group.column("root").to_numpy().copy()
+        held = [shingles(t.as_py()) for t in group.column("text")]
+        _, ids = np.unique(np.concatenate(held), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        own = np.zeros(int(ids.max()) + 1, bool)
+        a, b = [], []
+        for i, js in candidates(group):
+            if not (label[js] != label[i]).any():
+                continue
+            mine = ids[starts[i] : starts[i] + size[i]]
+            own[mine] = True
+            both = np.add.reduceat(own[ids], starts)[js]
+            own[mine] = False
+            for j in js[DENOMINATOR * both >= NUMERATOR * (size[i] + size[js] - both)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return compare(dealt, ["node", "root", "size", "sig", "text"], kernel, "a bigint, b bigint")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: `id_col`, node, n_shingles, component_id (the smallest id reachable) and kept.
+    """One row a document: `id_col`, node, n_shingles, component_id (the smallest id reachable), keeper and kept.
 
-    kept: the document is its component's first, or its set is empty.
+    kept: the id is the component's; keeper: the same for a row, also where ids are null or repeated.
     """
     rows = settle(sets(docs, id_col, text_col), "sets")
-    classes = settle(rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = settle(rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "node")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     shared = settle(buckets(classes), "buckets")
     stars = settle(near(shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), classes), "stars")
     involved = shared.select("node").distinct()
@@ -220,11 +263,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     nearest = stars.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", "best.b")
     links = settle(checked(nearest, texts), "links")
     roots = components(links)
-    more = checked(settle(apart(shared, roots, classes), "pairs"), texts)
-    roots = components(links.unionByName(more))
+    families = components(apart(shared, roots, classes))
+    roots = components(links.unionByName(resolved(families, roots, classes, texts)))
     classes_in = classes.join(roots, "node", "left").select("f1", "f2", "least", F.coalesce("root", "node").alias("root"))
-    first = classes_in.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = classes_in.join(first, "root").select("f1", "f2", "component_id")
-    whole = rows.select("doc", "node", "n", "f1", "f2").join(found.withColumn("some", F.lit(1)), ["f1", "f2"], "left")
+    first = classes_in.groupBy("root").agg(F.min("least").alias("first"))
+    found = classes_in.join(first, "root").select("f1", "f2", F.col("first.doc").alias("component_id"), F.col("first.node").alias("keep"))
+    whole = rows.select("doc", "node", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return whole.select(F.col("doc").alias(id_col), "node", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    keeper = (F.col("n") == 0) | (F.col("node") == F.col("keep"))
+    return whole.select(F.col("doc").alias(id_col), "node", F.col("n").alias("n_shingles"), component.alias("component_id"), keeper.alias("keeper")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
