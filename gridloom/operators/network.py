@@ -74,7 +74,7 @@ def centrality(stable: DataFrame) -> DataFrame:
 
     def side(column: str, name: str) -> DataFrame:
         g = stable.groupBy(F.col(column).alias("symbol")).agg(F.sum("median_absolute_strength").alias("s"), F.avg("selection_probability").alias("p"), F.sum(F.col("stable_edge").cast("int")).alias("k"))
-        return g.select("symbol", F.round("s", 6).alias(f"{name}_strength"), F.round("p", 6).alias(f"{name}_selection_probability"), F.col("k").alias(f"{name}_stable_edges"))
+        return g.select("symbol", F.round("s", 8).alias(f"{name}_strength"), F.round("p", 7).alias(f"{name}_selection_probability"), F.col("k").alias(f"{name}_stable_edges"))
 
     return side("source", "outgoing").join(side("target", "incoming"), "symbol", "full").na.fill(0).na.fill(0.0)
 

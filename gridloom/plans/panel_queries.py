@@ -239,9 +239,9 @@ def prospective_gates(spark, sf):
     return gated.groupBy("gate").agg(F.count(F.lit(1)).alias("n"), F.min("target_no").alias("first_target"))
 
 
-@query("persistence_forecast_ledger", f"WITH {LEDGER} SELECT symbol, origin_no, target_no, model, round(forecast, 4) AS forecast FROM ledger")
+@query("persistence_forecast_ledger", f"WITH {LEDGER} SELECT symbol, origin_no, target_no, model, round(ln(forecast), 6) AS log_forecast FROM ledger")
 def persistence_forecast_ledger(spark, sf):
-    return har.ledger(design(spark, sf)).select("symbol", "origin_no", "target_no", "model", F.round("forecast", 4).alias("forecast"))
+    return har.ledger(design(spark, sf)).select("symbol", "origin_no", "target_no", "model", F.round(F.ln("forecast"), 6).alias("log_forecast"))
 
 
 @query("simple_har_regression", f"WITH {HAR} SELECT symbol, count(*) AS n, round(regr_slope(response, d), 6) AS slope, round(regr_intercept(response, d), 6) AS intercept, round(regr_r2(response, d), 6) AS r2 FROM design WHERE d IS NOT NULL AND response IS NOT NULL GROUP BY 1")
@@ -370,7 +370,7 @@ def network_density(spark, sf):
     return network.density(e, network.stability(e))
 
 
-@query("network_centrality", f"WITH {STABLE}, o AS (SELECT source AS symbol, round(sum(median_absolute_strength), 6) AS os, round(avg(selection_probability), 6) AS op, sum(stable_edge::INT)::BIGINT AS ok FROM stable GROUP BY 1), i AS (SELECT target AS symbol, round(sum(median_absolute_strength), 6) AS s, round(avg(selection_probability), 6) AS p, sum(stable_edge::INT)::BIGINT AS k FROM stable GROUP BY 1) SELECT symbol, coalesce(os, 0) AS outgoing_strength, coalesce(op, 0) AS outgoing_selection_probability, coalesce(ok, 0) AS outgoing_stable_edges, coalesce(s, 0) AS incoming_strength, coalesce(p, 0) AS incoming_selection_probability, coalesce(k, 0) AS incoming_stable_edges FROM o FULL JOIN i USING (symbol)")
+@query("network_centrality", f"WITH {STABLE}, o AS (SELECT source AS symbol, round(sum(median_absolute_strength), 8) AS os, round(avg(selection_probability), 7) AS op, sum(stable_edge::INT)::BIGINT AS ok FROM stable GROUP BY 1), i AS (SELECT target AS symbol, round(sum(median_absolute_strength), 8) AS s, round(avg(selection_probability), 7) AS p, sum(stable_edge::INT)::BIGINT AS k FROM stable GROUP BY 1) SELECT symbol, coalesce(os, 0) AS outgoing_strength, coalesce(op, 0) AS outgoing_selection_probability, coalesce(ok, 0) AS outgoing_stable_edges, coalesce(s, 0) AS incoming_strength, coalesce(p, 0) AS incoming_selection_probability, coalesce(k, 0) AS incoming_stable_edges FROM o FULL JOIN i USING (symbol)")
 def network_centrality(spark, sf):
     return network.centrality(network.stability(edges(spark, sf)))
 
