@@ -55,13 +55,32 @@ def descend(g: np.ndarray, c: np.ndarray, alpha: float, start: np.ndarray) -> tu
     top = np.abs(c).max(initial=0.0)
     if alpha >= top - 1e-12 * max(1.0, top):
         return np.zeros(len(c)), True, violation(np.zeros(len(c)))
-    b = start.copy()
+    b, scale = start.copy(), np.diag(g).copy()
+    b[scale <= 1e-14] = 0.0
+    rest = c - g @ b
+    every = np.flatnonzero(scale > 1e-14).tolist()
+
+    def sweep(columns: list[int]) -> float:
+        """One pass; `rest`, the gradient, is kept up to date, so a column that stays costs nothing."""
+        moved = 0.0
+        for i in columns:
+            old = b[i]
+            pull = rest[i] + scale[i] * old
+            new = (pull - alpha if pull > alpha else pull + alpha if pull < -alpha else 0.0) / scale[i]
+            if new != old:
+                np.subtract(rest, (new - old) * g[i], out=rest)
+                b[i] = new
+                moved = max(moved, abs(new - old))
+        return float(moved)
+
     for _ in range(ROUNDS):
-        before = b.copy()
-        for i in range(len(b)):
-            b[i] = shrink(c[i] - g[i] @ b + g[i, i] * b[i], alpha) / g[i, i] if g[i, i] > 1e-14 else 0.0
-        if np.abs(b - before).max() <= TOLERANCE and violation(b) <= 10 * TOLERANCE:
+        if sweep(every) <= TOLERANCE and violation(b) <= 10 * TOLERANCE:
             return b, True, violation(b)
+        active = np.flatnonzero(b).tolist()
+        for _ in range(ROUNDS):  # settle the columns in use before looking at all again
+            if sweep(active) <= TOLERANCE:
+                break
+        rest = c - g @ b
     return b, False, violation(b)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import linalg, rotation, state_space
+from gridloom.operators.tasks import dealt
 
 
 def fit_rows(moments: DataFrame, fit: Callable[[dict], list[dict]], schema: str) -> DataFrame:
@@ -26,7 +27,8 @@ def fit_rows(moments: DataFrame, fit: Callable[[dict], list[dict]], schema: str)
             rows = [out for row in part.to_dict("records") for out in fit(row)]
             yield pd.DataFrame(rows, columns=names)
 
-    return moments.mapInPandas(run, schema)
+    keys = [c for c in moments.columns if c in ("window_no", "k", "l1", "kind", "rep")]
+    return (dealt(moments, *keys) if keys else moments).mapInPandas(run, schema)
 
 
 def covariance_of(row: dict) -> np.ndarray:
@@ -109,7 +111,7 @@ def sparse_path(moments: DataFrame, members: list[str], k: int) -> DataFrame:
         got = linalg.sparse_components(matrix_of(row, "correlation"), k, row["l1"], 0.10 if row["kind"] == "elastic_net" else 0.0)
         return [{"kind": row["kind"], "l1": row["l1"], "component": j + 1, "symbol": s, "weight": got["weights"][i, j], "nonzero": got["nonzero"], "explained_pct": got["explained_pct"], "rounds": got["rounds"]} for j in range(k) for i, s in enumerate(members)]
 
-    return fit_rows(grid.repartition(len(PENALTIES) * 2, "l1", "kind"), fit, "kind string, l1 double, component int, symbol string, weight double, nonzero int, explained_pct double, rounds int")
+    return fit_rows(grid, fit, "kind string, l1 double, component int, symbol string, weight double, nonzero int, explained_pct double, rounds int")
 
 
 def l1_rotation(moments: DataFrame, members: list[str], factors: tuple[int, ...], starts: int, seed: int = 916) -> DataFrame:
@@ -167,7 +169,7 @@ def session_bootstrap(by_session: DataFrame, replications: int, k: int, starts:
         h, critical = linalg.local_threshold(len(turned))
         return [{"rep": int(row["rep"]), "factor": f"LF{j + 1}", "cosine": cosine[j], "jaccard": linalg.jaccard(np.abs(base["loadings"][:, j]) >= h, np.abs(turned[:, j]) >= h), "local": bool((np.abs(turned[:, j]) < h).sum() > critical)} for j in range(k)]
 
-    return fit_rows(grid.repartition(8), fit, "rep int, factor string, cosine double, jaccard double, local boolean")
+    return fit_rows(grid, fit, "rep int, factor string, cosine double, jaccard double, local boolean")
 
 
 def rolling_components(by_window: DataFrame) -> DataFrame:
@@ -294,4 +296,4 @@ def kalman(panel: DataFrame, windows: DataFrame, members: list[str], k: int, tra
         rmse, standardized, condition = state_space.innovation_summary(fb)
         return pd.DataFrame([{"window_no": int(key[0]), "n_train": len(a), "n_holdout": len(b), "static_train_mse": mse(xa, static(xa)), "smoothed_train_mse": mse(xa, smooth @ h.T), "static_mse": mse(xb, static(xb)), "filtered_mse": mse(xb, fb["filt"] @ h.T), "one_step_mse": mse(xb, fb["pred"] @ h.T), "innovation_rmse": rmse, "standardized_rms": standardized, "worst_condition": condition}])
 
-    return inside.groupBy("window_no").applyInPandas(run, "window_no bigint, n_train int, n_holdout int, static_train_mse double, smoothed_train_mse double, static_mse double, filtered_mse double, one_step_mse double, innovation_rmse double, standardized_rms double, worst_condition double")
+    return dealt(inside, "window_no").groupBy("window_no").applyInPandas(run, "window_no bigint, n_train int, n_holdout int, static_train_mse double, smoothed_train_mse double, static_mse double, filtered_mse double, one_step_mse double, innovation_rmse double, standardized_rms double, worst_condition double")

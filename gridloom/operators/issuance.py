@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import lasso
 from gridloom.operators.har import by_symbol
+from gridloom.operators.tasks import dealt
 
 TERMS = ("d", "w", "m")
 LEAST = 60
@@ -80,7 +81,7 @@ def forecasts(rows: DataFrame, symbols: list[str], every: int, extra: list[str]
         return pd.DataFrame(out)
 
     schema = "symbol string, origin_no int, target_no int, model string, n_train int, log_forecast double, forecast double, penalty double, n_selected int, tuning_block bigint, tuning_status string"
-    return spread.groupBy("symbol", "for_block").applyInPandas(run, schema)
+    return dealt(spread, "symbol", "for_block").groupBy("symbol", "for_block").applyInPandas(run, schema)
 
 
 def loss_bootstrap(dates: DataFrame, replications: int, length: int, seed: int, per_task: int = 100) -> DataFrame:
@@ -132,5 +133,5 @@ def edge_bootstrap(rows: DataFrame, symbols: list[str], replications: int, lengt
         names = [(s, t) for s in symbols if s != symbol for t in TERMS]
         return pd.DataFrame([{"target": symbol, "source": s, "horizon": t.upper(), "rep": int(rep), "selected": bool(v != 0), "coefficient": float(v)} for (s, t), v in zip(names, b)])
 
-    draws = reps.groupBy("symbol", "rep").applyInPandas(run, "target string, source string, horizon string, rep int, selected boolean, coefficient double")
+    draws = dealt(reps, "symbol", "rep").groupBy("symbol", "rep").applyInPandas(run, "target string, source string, horizon string, rep int, selected boolean, coefficient double")
     return draws.groupBy("target", "source", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("selected").cast("double")).alias("selection_probability"), F.median("coefficient").alias("median_coefficient"))
