@@ -8,7 +8,7 @@ that significantly more of its windows hold).  A window of `WINDOW` words is com
 once with the ordinary dictionary and once with the ordinary dictionary that the toxic one extends;
 the bytes saved by the extension are the window's distance.  Windows that save at least the
 calibrated number of bytes count, and a logistic curve, fitted on labelled rows that the
-dictionaries have not seen, turns their sum into the score.
+dictionaries have not seen, turns their sum, the largest and the text's length into the score.
 
 Fitting uses at most `max_rows` labelled rows of each class and `max_windows` windows of each,
 spread over the whole text; both are parameters.  Scoring reads every whole text.
@@ -32,7 +32,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_remainder
+from gridloom.llm.common import crc_remainder, settle
 
 STEMS = (4, 6, 8)
 WINDOW = 10
@@ -76,7 +76,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     least_gain: int
-    slope: float
+    slopes: tuple[float, ...]
     offset: float
 
     def scorer(self):
@@ -87,12 +87,9 @@ class Model:
         pack, pack_more, least = plain.compress, more.compress, self.least_gain
 
         def score(found: list[bytes]) -> float:
-            total = 0
-            for w in found:
-                gain = len(pack(w)) - len(pack_more(w))
-                if gain >= least:
-                    total += gain
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(total) + self.offset))))
+            values = measures([len(pack(w)) - len(pack_more(w)) for w in found], least)
+            z = sum(a * v for a, v in zip(self.slopes, values)) + self.offset
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
         return score
 
@@ -106,13 +103,28 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def distinctive(rows: list[tuple[bool, list[bytes]]], ratio: float = 6.0, deviations: float = 6.0) -> set[bytes]:
-    """Codes that significantly more toxic than ordinary windows hold; equal windows, as copies of a text have them, count once."""
-    counts, n = {}, {}
-    for kind in (True, False):
-        distinct = {w for toxic, found in rows if toxic is kind for w in found}
-        n[kind] = len(distinct)
-        counts[kind] = Counter(c for w in distinct for c in {w[i : i + 8] for i in range(0, len(w), 8)})
+def without_copies(rows: list[tuple[bool, list[bytes]]]) -> list[tuple[bool, list[bytes]]]:
+    """The rows without near copies of earlier ones of their class: those that share one of three min-hashes of code 4-grams.
+
+    Else the accidental words of a much copied toxic text would look like toxic ones.
+    """
+    seen: set[tuple[bool, int, int]] = set()
+    out = []
+    for toxic, found in rows:
+        codes = np.frombuffer(b"".join(found), np.uint64)
+        n = max(len(codes) - 3, 1)
+        grams = np.zeros(n, np.uint64)
+        for i in range(min(4, len(codes))):
+            grams = (grams ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        least = [(toxic, k, int((grams * np.uint64(m)).min())) for k, m in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))]
+        if seen.isdisjoint(least):
+            out.append((toxic, found))
+        seen.update(least)
+    return out
+
+
+def overrepresented(counts: dict[bool, Counter], n: dict[bool, int], ratio: float, deviations: float = 6.0) -> set[bytes]:
+    """Codes of which toxic units have significantly more than chance, and at least four."""
     out = set()
     for code, k in counts[True].items():
         p = (counts[False][code] + 0.5) / (n[False] + 1)
@@ -122,28 +134,52 @@ def distinctive(rows: list[tuple[bool, list[bytes]]], ratio: float = 6.0, deviat
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic fit by Newton's method."""
-    a = np.column_stack([x, np.ones_like(x)])
-    w = np.zeros(2)
+def distinctive(rows: list[tuple[bool, list[bytes]]]) -> set[bytes]:
+    """Codes that are overrepresented in toxic documents and in distinct toxic windows alike.
+
+    A text that repeats a line counts once as a document; a passage that many texts share counts once as a window.
+    """
+    codes = lambda unit: {unit[i : i + 8] for i in range(0, len(unit), 8)}
+    documents, windows_, n, m = {}, {}, {}, {}
+    for kind in (True, False):
+        own = [found for toxic, found in rows if toxic is kind]
+        distinct = {w for found in own for w in found}
+        documents[kind], n[kind] = Counter(c for found in own for c in codes(b"".join(found))), len(own)
+        windows_[kind], m[kind] = Counter(c for w in distinct for c in codes(w)), len(distinct)
+    return overrepresented(documents, n, 4.0) & overrepresented(windows_, m, 6.0)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Slopes, then the offset, of a weighted logistic fit by Newton's method."""
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        h = a.T @ (a * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def measures(gains: list[int], least: int) -> tuple[float, float, float]:
+    """What a text's windows save: the sum of those that save enough, the most, and the text's length."""
+    enough = [g for g in gains if g >= least]
+    return math.log1p(sum(enough)), math.log1p(max(enough, default=0)), math.log1p(len(gains))
+
 
+def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096, totals: tuple[int, int] | None = None) -> Model:
+    """Fit on (label, part, windows); part 3 calibrates, the others train the dictionaries.
 
-def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096) -> Model:
-    """Fit on (label, part, windows); part 3 calibrates, the others train the dictionaries."""
+    totals: ordinary and toxic labels behind the rows, where these are an uneven sample of them.
+    """
     rows = [r for r in rows if r[2]]
     share = sum(r[0] for r in rows) / len(rows) if rows else 0.0
-    learn = [(bool(t), w) for t, part, w in rows if part != 3]
+    learn = without_copies([(bool(t), w) for t, part, w in rows if part != 3])
     held = [(t, w) for t, part, w in rows if part == 3]
     if len({t for t, _ in learn}) < 2 or len({t for t, _ in held}) < 2:
-        return Model(b"", b"", 1, 0.0, share)
+        return Model(b"", b"", 1, (), share)
     good = distinctive(learn)
     toxic_samples = []
     for toxic, found in learn:
@@ -154,24 +190,30 @@ def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192
     ordinary = trained([w for toxic, found in learn if not toxic for w in found[:20]], ordinary_size, 32)
     extension = trained(toxic_samples, toxic_size, 8)
     if not extension:
-        return Model(b"", b"", 1, 0.0, share)
+        return Model(b"", b"", 1, (), share)
     plain, more = compressor(ordinary), compressor(ordinary + extension)
     gains = [[len(plain.compress(w)) - len(more.compress(w)) for w in found] for _, found in held]
     y = np.array([t for t, _ in held], float)
+    of = (len(y) - y.sum(), y.sum())
+    shares = totals or of
+    weight = np.where(y > 0, shares[1] / of[1], shares[0] / of[0])
+    weight *= len(y) / weight.sum()
     best = None
-    for least in range(1, 13):
-        x = np.log1p([sum(g for g in gs if g >= least) for gs in gains])
-        slope, offset = logistic(x, y)
-        z = np.clip(slope * x + offset, -30, 30)
-        loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    for least in range(2, 13):
+        x = np.array([measures(gs, least) for gs in gains])
+        *slopes, offset = map(float, logistic(x, y, weight))
+        z = np.clip(x @ np.array(slopes) + offset, -30, 30)
+        loss = float(np.mean(weight * (np.logaddexp(0, z) - y * z)))
         if best is None or loss < best[0]:
-            best = (loss, least, slope, offset)
+            best = (loss, least, tuple(slopes), offset)
     return Model(ordinary, extension, *best[1:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_windows: int = 64) -> Model:
     """Learn from labelled rows outside the held-out fold; at most `max_rows` of each class, chosen by a hash of the id."""
     allowed = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    allowed = settle(allowed, "labels")
+    sums = {r["toxic"]: r["count"] for r in allowed.groupBy("toxic").count().collect()}
     parts = [allowed.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for t in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_rows rows of two numbers
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", (F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 4).cast("int").alias("part"), "text")
@@ -187,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_windows: i
 
     rows = texts.mapInArrow(coded, "toxic int, part int, windows array<binary>").collect()
     rows = sorted((int(r["toxic"]), int(r["part"]), [bytes(w) for w in r["windows"]]) for r in rows)
-    return fit_rows(rows)
+    return fit_rows(rows, totals=(sums.get(0, 0), sums.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
