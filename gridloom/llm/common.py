@@ -35,6 +35,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that finished jobs have left in the shared folder; nothing may still read them."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
     path = fresh_dir(df.sparkSession, label)
