@@ -36,6 +36,13 @@ def summary(scored: DataFrame, *by: str) -> DataFrame:
     return scored.filter("status = 'scored'").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *means, F.round(F.median("qlike"), 6).alias("median_qlike"), F.min("target_no").alias("first_target"), F.max("target_no").alias("last_target"))
 
 
+def period(scored: DataFrame, name: str, first: str, last: str) -> DataFrame:
+    """Summaries of the targets from `first` to `last`, inclusive; where there are none, one row that isn't available."""
+    found = summary(scored.filter(F.col("target_day").between(first, last)), "model")
+    frame = scored.sparkSession.range(1).select(F.lit(name).alias("period"))
+    return frame.join(found, F.lit(True), "left").withColumn("available", F.col("model").isNotNull())
+
+
 def quarter(day: str) -> Column:
     return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
 
