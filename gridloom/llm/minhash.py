@@ -3,7 +3,7 @@
 A document's set is its distinct word shingles.  Its signature has `POSITIONS` min-hashes of b = 16
 bits; the distance of two signatures is the number of positions where they differ.  Two sets of
 Jaccard similarity 0.75 differ in a quarter of the positions on average, and in more than
-`DISTANCE` of 48 about once in ten thousand pairs.
+`DISTANCE` of 48 about once in six thousand pairs.
 
 Signatures within the distance are all found: split into m = 12 chunks of 4 positions, two of them
 at distance 23 or less have, by the pigeonhole principle, a chunk with at most floor(23 / 12) = 1

@@ -126,13 +126,13 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
 def decisions(pages: DataFrame, least: int = 0) -> DataFrame:
     """`pages` (page_id, url, html) with refers_to and revisit; payloads of fewer than `least` bytes never become revisits."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.xxhash64(html, F.lit("a")).alias("h1"), F.xxhash64(html).alias("h2"))
+    keyed = pages.select("page_id", "url", html.alias("html"), F.xxhash64(F.lit("a"), html).alias("h1"), F.xxhash64(html).alias("h2"))
     groups = keyed.filter(F.octet_length("html") >= least).groupBy("h1", "h2").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = keyed.select("page_id", "h1", "h2").join(groups, ["h1", "h2"]).filter(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).filter(F.col("refers_to").isNotNull())
     again = settle(again.select(F.col("page_id").alias("of"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "refers_to").distinct(), "warc-revisits")
     held = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
     same = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
-    return keyed.join(held, same, "left").select("page_id", "url", "html", "refers_to", F.col("of").isNotNull().alias("has_id"), F.col("g1").isNotNull().alias("revisit")).drop("has_id")
+    return keyed.join(held, same, "left").select("page_id", "url", "html", "refers_to", F.col("g1").isNotNull().alias("revisit"))
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
