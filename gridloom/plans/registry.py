@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.sources.shared import Tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -15,7 +17,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: f(spark, Tables(sf_dir))
         if sql:
             ORACLE_SQL[name] = sql
         return f

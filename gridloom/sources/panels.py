@@ -1,7 +1,8 @@
 """Long panels from tables: one row a (session, bar, symbol) or a (day, symbol).
 
 Every adapter is one scan and one aggregate, so column pruning reaches the Parquet reader and the
-shuffle carries partial sums only.  Panels stay long; wide rows exist only inside grouped kernels.
+shuffle carries partial sums only.  A query settles the panel, which is small, and scans the table
+once, however often the panel is used.  Panels stay long; wide rows exist only inside grouped kernels.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import once
+
 #: Bars of the hourly panel: sessions are calendar days of 24 bars.
 OPEN_BAR, CLOSE_BAR, BARS = 0, 24, 24
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
@@ -37,6 +40,7 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+@once
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, bar, symbol, close (mean value), volume (events), from `events` by the hour."""
     e = no_nan(scan(spark, sf_dir, "events", "ts", "event_type", "value"))
@@ -46,14 +50,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, open_bar, close_bar, expected_bars: one row an observed day."""
-    days = scan(spark, sf_dir, "events", "ts").select(F.to_date("ts").alias("session")).distinct()
+    days = bars(spark, sf_dir).select("session").distinct()
     return days.select("session", F.lit(OPEN_BAR).alias("open_bar"), F.lit(CLOSE_BAR).alias("close_bar"), F.lit(BARS).alias("expected_bars"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, sf_dir, "events", "event_type").select(F.col("event_type").alias("symbol")).distinct()
+    return bars(spark, sf_dir).select("symbol").distinct()
 
 
+@once
 def daily_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """day, symbol (return flag and line status), level (mean extended price), from `lineitem`."""
     rows = scan(spark, sf_dir, "lineitem", "l_shipdate", "l_returnflag", "l_linestatus", "l_extendedprice")
@@ -61,6 +66,7 @@ def daily_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("day", "symbol").agg(F.avg("x").alias("level"))
 
 
+@once
 def daily_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """day, symbol (order priority), level (mean total price), from `orders`."""
     rows = scan(spark, sf_dir, "orders", "o_orderdate", "o_orderpriority", "o_totalprice")
