@@ -8,19 +8,15 @@ the two ranks beside it, repeat.  That is quadratic in the word's length, so wor
 `ARRAY_MAX` symbols use a heap over the same ranks; the merges are the same, leftmost least rank
 first.
 
-Defined results: null and empty texts have no tokens; repeated rows give repeated results; every
-other column of the input is left out of digests and kept, replaced only where an output column has its name.
+Defined results: null and empty texts have no tokens; repeated rows give repeated results; the other
+columns of the input stay, and are replaced only where an output column has their name.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
-
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,24 +191,6 @@ def decode(df: DataFrame, tokens_col: str = "tokens", vocabulary: str | None = N
     @F.pandas_udf("string")
     def text(ids):
         bpe = loaded(vocabulary)
-        return ids.map(lambda x: bpe.decode(x or b""), na_action=None)
+        return ids.map(lambda x: bpe.decode(x) if x else "", na_action=None)
 
     return df.withColumn(out, text(F.col(tokens_col)))
-
-
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """Encode and decode in one pass: `id_col`, n_tokens, ids_sha256, decoded_sha256.  Only digests leave the Python worker."""
-    fields = df.select(id_col).schema.simpleString()[7:-1] + ",n_tokens:bigint,ids_sha256:string,decoded_sha256:string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(vocabulary)
-        for batch in batches:
-            n, ids, texts = [], [], []
-            for text in batch.column(1):
-                packed = bpe.encode(text.as_py())
-                n.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                texts.append(hashlib.sha256(bpe.decode(packed).encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(id_col, text_col).mapInArrow(run, fields.replace(":", " "))

@@ -16,7 +16,6 @@ equal texts give equal bytes, as serial numbers are fixed.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -267,19 +266,16 @@ def packets(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     return df.select(id_col, media_col).mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """What is read back from `media_col` (as `store` made it, n_bytes beside it): digests of payload and media, and features."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "sound"]
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, sound boolean"
+def load(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """`df` with payload (the samples read back), feature and sound, which replace columns of those names."""
+    kept = [c for c in df.columns if c not in ("payload", "feature", "sound")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema) + ", payload binary, feature string, sound boolean"
+    at = kept.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item in batch.column(2):
-                media = item.as_py() or b""
-                payload, text, sound = features(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), text, sound))
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], [id_col, *names])
-
-    return df.select(id_col, "n_bytes", media_col).mapInArrow(run, schema)
+            rows = [features(item.as_py() or b"") for item in batch.column(at)]
+            more = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*kept, "payload", "feature", "sound"])
+
+    return df.select(*kept).mapInArrow(run, schema)

@@ -18,7 +18,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
-    return bpe.round_trip(table(spark, sf_dir, "documents"))
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,11 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (draw <
 
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored in Ogg, read back and described."""
-    return ogg.digests(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    read = ogg.load(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "sound",
+    )
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
