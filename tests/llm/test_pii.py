@@ -64,3 +64,69 @@ def test_edges(spark):
     out = pii.report(pii.extract(df)).collect()
     assert sorted((str(r.doc_id), r.n_email, r.spans) for r in out) == [("3", 1, "email:0:7"), ("3", 1, "email:0:7"), ("None", 0, ""), ("None", 1, "email:0:7")]
     assert pii.report(pii.extract(df.limit(0))).count() == 0
+
+
+def brute_spans(rows):
+    """The bootstrap in plain Python: spans of every row, base and found."""
+    import math
+
+    import regex
+
+    loose = [lambda v: "@" in v, lambda v: re.fullmatch(r"[0-9]+(\.[0-9]+){2,}", v), lambda v: re.fullmatch(r"[0-9]([ -]?[0-9]){11,18}", v), lambda v: re.fullmatch(r"\+?[0-9(]([().-]?[0-9]){6,14}", v)]
+    spots, bases = [], {}
+    for i, text in rows:
+        base = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in plain(text).split(",") if s)]
+        bases[i] = base
+        found = [(k, a, b, text[a:b]) for k, a, b in base]
+        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", text):
+            lead = len(re.match(r"[^A-Za-z0-9+@]*", m[0])[0])
+            core = re.sub(r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "", m[0])
+            a, b = m.start() + lead, m.start() + lead + len(core)
+            if len(core) > 3 and not any(x < b and a < y for _, x, y in base):
+                found.append((None, a, b, core))
+        for k, a, b, v in found:
+            left, right = text[max(0, a - 64) : a], text[b : b + 64]
+            word = lambda m: regex.sub(r"[^\p{L}\p{N}=:]", "", m[1]).lower() if m else ""
+            w1, w2, r1 = word(re.search(r"(\S+)\s*$", left)), word(re.search(r"(\S+)\s+\S+\s*$", left)), word(re.match(r"\S*\s+(\S+)", right))
+            for p in ([f"l2 {w2} {w1}"] if w1 and w2 else []) + ([f"lr {w1} {r1}"] if w1 and r1 else []) + ([f"l1 {w1}"] if w1 else []):
+                spots.append((i, a, b, k, v.lower(), p))
+    seed, members = {}, {}
+    for _, _, _, k, v, p in spots:
+        members.setdefault(p, set()).add(v)
+        if k is not None:
+            seed[v] = min(k, seed.get(v, k))
+    values = {v for _, _, _, _, v, _ in spots}
+    allowed = {(v, k) for v in values - set(seed) for k in range(4) if loose[k](v)}
+    support = {(p, k) for p, vs in members.items() for k in range(4) if sum(seed.get(v) == k for v in vs) >= pii.SUPPORT}
+    score = {(v, k): 1.0 for v, k in seed.items()}
+    confident, accepted = {}, {}
+    for _ in range(pii.ROUNDS):
+        confident = {(p, k): c for p, k in support if (c := round(sum(score.get((v, k), 0) for v in members[p]) / (len(members[p]) + 1), 9)) >= pii.CONFIDENT}
+        doubt = {}
+        for (p, k), c in confident.items():
+            for v in members[p]:
+                if (v, k) in allowed:
+                    doubt[v, k] = doubt.get((v, k), 0) + math.log(1 - min(c, 0.999))
+        accepted = {x: s for x, d in doubt.items() if (s := round(1 - math.exp(d), 9)) >= pii.CONFIDENT}
+        score = {(v, k): 1.0 for v, k in seed.items()} | accepted
+    out = {i: set(b) for i, b in bases.items()}
+    for i, a, b, k, v, p in spots:
+        if k is None:
+            out[i] |= {(kind, a, b) for kind in range(4) if (p, kind) in confident and (v, kind) in accepted}
+    return {i: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(s)) for i, s in out.items()}
+
+
+def test_bootstrap_brute_force(spark):
+    rnd = random.Random(11)
+    cues = [("write to", lambda: f"u{rnd.randrange(30)}@mail.example.com"), ("write to", lambda: f"u{rnd.randrange(9)}@localhost"), ("call me", lambda: f"+1 (20{rnd.randrange(9)}) 555-01{rnd.randrange(10, 99)}"), ("call me", lambda: f"55501{rnd.randrange(10, 30)}"), ("host is", lambda: f"10.0.{rnd.randrange(300)}.{rnd.randrange(9)}"), ("host is", lambda: f"10.{rnd.randrange(20)}.7"), ("see page", lambda: str(rnd.randrange(1000, 1020)))]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rnd.randrange(4)):
+            cue, make = rnd.choice(cues)
+            parts.append(f"{rnd.choice(['so', 'then', 'now'])} {cue if rnd.random() < 0.8 else 'odd'} {make()}{rnd.choice(['', ',', '.'])} {rnd.choice(['please', 'today', 'soon'])}")
+        rows.append((i, "\n".join(parts)))
+    want = brute_spans(rows)
+    out = {r.doc_id: r.spans for r in pii.report(pii.extract(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert out == want
+    assert sum(len(w.split(",")) for w in want.values() if w) > sum(len(plain(t).split(",")) for _, t in rows if plain(t))
