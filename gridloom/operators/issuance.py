@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import lasso
-from gridloom.operators.har import by_symbol
+from gridloom.operators.har import by_symbol, features
 from gridloom.operators.tasks import dealt
 
 TERMS = ("d", "w", "m")
@@ -43,10 +43,22 @@ def blocks(design: DataFrame, symbols: list[str], every: int, extra: DataFrame |
     return numbered.withColumn("block", F.floor((F.col("row_no") - 1) / every).cast("long"))
 
 
-def forecasts(rows: DataFrame, symbols: list[str], every: int, extra: list[str] = ()) -> DataFrame:
-    """Forecasts of every origin after the first LEAST: own, network at two penalties, and own with the extra terms."""
-    # A block's group holds its own origins and every earlier row to train on.
+def factor_terms(series: DataFrame, days: DataFrame, names: list[str]) -> DataFrame:
+    """The d, w and m terms of factor series (session_no, symbol, y), a column each: name_d, name_w, name_m."""
+    full = days.select("session_no", "day", F.explode(F.array(*map(F.lit, names))).alias("symbol")).join(series, ["session_no", "symbol"], "left")
+    wide = features(full).groupBy("session_no").pivot("symbol", names).agg(F.first(F.struct(*TERMS)))
+    return wide.select("session_no", *(F.col(f"`{s}`.{t}").alias(f"{s}_{t}") for s in names for t in TERMS))
+
+
+def forecasts(rows: DataFrame, symbols: list[str], every: int, aggregate: list[str] = (), local: list[str] = ()) -> DataFrame:
+    """Forecasts of every origin that has LEAST rows to train on.
+
+    Models: persistence; own_har; network_1se and network_min (lasso on the other symbols' terms); and,
+    where factor terms are given, aggregate_har and local_har (own and those terms) and hybrid_har
+    (own and aggregate terms unpenalised, lasso on the others, tuned for itself).
+    """
     last = rows.withColumn("last_block", F.max("block").over(Window.partitionBy("symbol")))
+    # A block's group holds its own origins and every earlier row to train on.
     spread = last.withColumn("for_block", F.explode(F.sequence("block", "last_block"))).drop("last_block")
     at = {s: i for i, s in enumerate(symbols)}
 
@@ -56,28 +68,36 @@ def forecasts(rows: DataFrame, symbols: list[str], every: int, extra: list[str]
         terms = np.array(part["terms"].tolist(), float)
         mine = slice(3 * at[symbol], 3 * at[symbol] + 3)
         own, cross = terms[:, mine], np.delete(terms, np.arange(terms.shape[1])[mine], 1)
-        more = part[list(extra)].to_numpy(float) if extra else np.zeros((len(part), 0))
+        more, near = (part[list(c)].to_numpy(float) for c in (aggregate, local))
         y, sessions, targets = part["response"].to_numpy(float), part["session_no"].to_numpy(), part["target_no"].to_numpy()
-        ok = np.isfinite(y)
-        out, tuned = [], None
+        ok, none = np.isfinite(y), np.zeros((len(part), 0))
+        with_aggregate, with_local = np.column_stack([own, more]), np.column_stack([own, near])
+        out, tuned = [], {}
         for i in np.flatnonzero((part["block"] == block).to_numpy()):
-            known = ok & (targets <= sessions[i])
-            if known.sum() < LEAST:
+            a = np.flatnonzero(ok & (targets <= sessions[i]))
+            if len(a) < LEAST:
                 continue
-            a = np.flatnonzero(known)
-            if tuned is None:
-                tuned = lasso.tune(own[a], cross[a], y[a])
-            sample = lasso.Sample.of(own[a], cross[a], y[a])
-            fits = dict(zip(("network_1se", "network_min"), lasso.path(sample, [tuned["one_se"], tuned["min"]])))
-            none = np.zeros((len(part), 0))
-            plain = lasso.path(lasso.Sample.of(own[a], none[a], y[a]), [0.0])[0]
-            chosen = [("own_har", plain, own, none), *((m, f, own, cross) for m, f in fits.items())]
-            if extra:
-                wider = np.column_stack([own, more])
-                chosen.append(("factor_har", lasso.path(lasso.Sample.of(wider[a], none[a], y[a]), [0.0])[0], wider, none))
+            if not tuned:  # once a block, at its first origin
+                tuned["network"] = lasso.tune(own[a], cross[a], y[a])
+                if aggregate:
+                    tuned["hybrid"] = lasso.tune(with_aggregate[a], cross[a], y[a])
+
+            def fitted(o: np.ndarray, c: np.ndarray, alphas: list[float]) -> list[dict]:
+                return lasso.path(lasso.Sample.of(o[a], c[a], y[a]), alphas)
+
+            pair = fitted(own, cross, [tuned["network"]["one_se"], tuned["network"]["min"]])
+            chosen = [("own_har", fitted(own, none, [0.0])[0], own, none), ("network_1se", pair[0], own, cross), ("network_min", pair[1], own, cross)]
+            if aggregate:
+                chosen.append(("aggregate_har", fitted(with_aggregate, none, [0.0])[0], with_aggregate, none))
+                chosen.append(("hybrid_har", fitted(with_aggregate, cross, [tuned["hybrid"]["one_se"]])[0], with_aggregate, cross))
+            if local:
+                chosen.append(("local_har", fitted(with_local, none, [0.0])[0], with_local, none))
+            base = {"symbol": symbol, "origin_no": int(sessions[i]), "target_no": int(targets[i]), "n_train": len(a), "tuning_block": int(block)}
+            out.append(base | {"model": "persistence", "log_forecast": float(own[i, 0]), "forecast": lasso.level(float(own[i, 0]), 1.0), "penalty": 0.0, "n_selected": 0, "tuning_status": "none"})
             for model, fit, o, c in chosen:
                 log_forecast = float(lasso.predict(fit, o[i : i + 1], c[i : i + 1])[0])
-                out.append({"symbol": symbol, "origin_no": int(sessions[i]), "target_no": int(targets[i]), "model": model, "n_train": len(a), "log_forecast": log_forecast, "forecast": lasso.level(log_forecast, lasso.smearing(fit, o[a], c[a], y[a])), "penalty": float(fit["alpha"]), "n_selected": int((np.abs(fit["cross"]) > 0).sum()), "tuning_block": int(block), "tuning_status": tuned["status"]})
+                status = tuned["hybrid" if model == "hybrid_har" else "network"]["status"] if c.shape[1] else "none"
+                out.append(base | {"model": model, "log_forecast": log_forecast, "forecast": lasso.level(log_forecast, lasso.smearing(fit, o[a], c[a], y[a])), "penalty": float(fit["alpha"]), "n_selected": int((np.abs(fit["cross"]) > 0).sum()), "tuning_status": status})
         return pd.DataFrame(out)
 
     schema = "symbol string, origin_no int, target_no int, model string, n_train int, log_forecast double, forecast double, penalty double, n_selected int, tuning_block bigint, tuning_status string"

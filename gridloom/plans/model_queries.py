@@ -113,11 +113,19 @@ def lasso_har_forecasts(spark, sf):
     return issuance.forecasts(rows, MEMBERS, har.RETUNE)
 
 
+def factor_rows(spark, sf):
+    """Blocks with the terms of three causal series: the common part, and the adjusted levels of the N and R stocks."""
+    mean = lambda c, *of: F.avg(F.when(F.col("symbol").isin(*of), F.col(c)) if of else F.col(c))
+    wide_series = causal(spark, sf).groupBy("session_no").agg(mean("common").alias("common"), mean("adjusted", "NF", "NO").alias("local_n"), mean("adjusted", "RF", "RO").alias("local_r"))
+    names = ["common", "local_n", "local_r"]
+    terms = issuance.factor_terms(wide_series.unpivot(["session_no"], names, "symbol", "y"), days(spark, sf), names)
+    return issuance.blocks(har.features(daily(spark, sf)), MEMBERS, har.RETUNE, terms.dropna())
+
+
 @query("factor_har_forecasts")
 def factor_har_forecasts(spark, sf):
-    common = causal(spark, sf).groupBy("session_no").agg(F.avg("common").alias("common"), F.avg("residual").alias("idiosyncratic"))
-    rows = issuance.blocks(har.features(daily(spark, sf)), MEMBERS, har.RETUNE, common)
-    return issuance.forecasts(rows, MEMBERS, har.RETUNE, ["common", "idiosyncratic"])
+    named = lambda *series: [f"{s}_{t}" for s in series for t in issuance.TERMS]
+    return issuance.forecasts(factor_rows(spark, sf), MEMBERS, har.RETUNE, named("common"), named("local_n", "local_r"))
 
 
 @query("loss_bootstrap")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.linalg import two_sided
 from gridloom.operators import factors, har, issuance, moments, network, scoring, summaries, variance, windows
 from gridloom.plans import model_queries as models
 from gridloom.plans.panel_queries import MEMBERS, SORTED, daily, days, design, hourly_returns, intervals, scored
 from gridloom.plans.registry import query
 from gridloom.sources import panels
+from gridloom.sources.shared import settle
 
 GROUPS = {"open": ["NO", "RO"], "final": ["NF", "RF"], "returned": ["RF", "RO"]}
 
@@ -145,6 +150,23 @@ def network_score_ledger(spark, sf):
     return scoring.score(models.lasso_har_forecasts(spark, sf), outcomes, quality)
 
 
+PAIRS = [("aggregate_har", "own_har"), ("local_har", "own_har"), ("network_1se", "own_har"), ("hybrid_har", "aggregate_har"), ("hybrid_har", "network_1se"), ("own_har", "persistence")]
+
+
+@query("factor_comparisons")
+def factor_comparisons(spark, sf):
+    """HAC tests of the declared pairs of models at two lags, with Holm's adjustment within a lag."""
+    panel = daily(spark, sf)
+    outcomes = panel.filter(F.col("level").isNotNull()).select(F.col("session_no").alias("target_no"), "symbol", F.col("level").alias("outcome"))
+    quality = panel.groupBy(F.col("session_no").alias("target_no")).agg((F.count("y") >= 4).alias("eligible")).withColumn("reason", F.lit("insufficient_symbols"))
+    ledger = models.factor_har_forecasts(spark, sf).withColumn("target_day", F.lit(None).cast("date"))
+    rows = settle(scoring.score(ledger, outcomes, quality).select("symbol", "target_no", "target_day", "model", "comparison_eligible", *scoring.LOSSES), "scored")
+    daily_differences = [scoring.by_date(scoring.paired(rows, a, b)).withColumn("pair", F.lit(f"{a} - {b}")) for a, b in PAIRS]
+    tests = scoring.hac(reduce(DataFrame.unionByName, daily_differences), [5, 20], ["pair"])
+    p = F.udf(lambda z: None if z is None else two_sided(z), "double")
+    return scoring.holm(tests.withColumn("p_value", p("z")).withColumn("id", F.col("pair")), "lag", "p_value").drop("id")
+
+
 @query("stress_availability")
 def stress_availability(spark, sf):
     """Two periods' summaries; a period without scored rows is one row that says so."""

@@ -57,3 +57,11 @@ def test_windows_and_bootstrap_rollups(spark):
     b = QUERIES["session_bootstrap_summary"](spark, SF).collect()
     assert len(b) == 3 and all(r.n == 40 and r.cosine_5pct <= r.cosine_median for r in b)
     assert np.isfinite([r.median_holdout_mse for r in QUERIES["method_comparison"](spark, SF).collect()]).all()
+
+
+def test_declared_pairs_are_tested_and_adjusted(spark):
+    rows = QUERIES["factor_comparisons"](spark, SF).collect()
+    assert len(rows) == 12 and {r.lag for r in rows} == {5, 20}
+    assert all(0 <= r.p_value <= r.holm <= 1 and r.n > 100 for r in rows)
+    by_lag = sorted((r.p_value, r.holm) for r in rows if r.lag == 5)
+    assert [h for _, h in by_lag] == sorted(h for _, h in by_lag)
