@@ -272,7 +272,7 @@ def kalman(panel: DataFrame, windows: DataFrame, members: list[str], k: int, tra
     inside = windows.withColumn("session_no", F.explode(F.sequence("start_no", "end_no"))).join(panel, "session_no")
     p = len(members) - 2
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key, part):
         part = part.sort_values("session_no")
         first = part["start_no"].iloc[0]
         data, is_train = part[members].to_numpy(float), (part["session_no"] < first + train).to_numpy()

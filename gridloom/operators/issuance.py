@@ -62,7 +62,7 @@ def forecasts(rows: DataFrame, symbols: list[str], every: int, aggregate: list[s
     spread = last.withColumn("for_block", F.explode(F.sequence("block", "last_block"))).drop("last_block")
     at = {s: i for i, s in enumerate(symbols)}
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key, part):
         part = part.sort_values("session_no")
         symbol, block = key
         terms = np.array(part["terms"].tolist(), float)
@@ -139,7 +139,7 @@ def edge_bootstrap(rows: DataFrame, symbols: list[str], replications: int, lengt
     reps = recent.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replications - 1))))
     at = {s: i for i, s in enumerate(symbols)}
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key, part):
         symbol, rep = key
         part = part.sort_values("session_no")
         terms, y = np.array(part["terms"].tolist(), float), part["response"].to_numpy(float)
