@@ -54,28 +54,31 @@ def marks(unit: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors (rows) in double precision of vectors that are kept as `kind`."""
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(vector: list | None) -> bytes | None:
-    """The components as doubles, or None for what links with nothing."""
+def usable(vector: list | None, kind: str) -> bytes | None:
+    """The components as `kind`, or None for what links with nothing."""
     if not vector or any(v is None for v in vector):
         return None
     x = np.asarray(vector, np.float64)
     with np.errstate(over="ignore"):
         norm = np.linalg.norm(x)
-    return (x + 0.0).tobytes() if np.isfinite(norm) and norm > 0 else None
+    return (x + 0.0).astype(kind).tobytes() if np.isfinite(norm) and norm > 0 else None
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row a vector: `id_col`, n_links, component_id (the smallest id reachable) and kept."""
     id_type = vectors.schema[id_col].dataType.simpleString()
+    # Single precision input moves as such; all arithmetic is in double precision.
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [usable(v) for v in batch.column(1).to_pylist()]
+            found = [usable(v, kind) for v in batch.column(1).to_pylist()]
             h = [xxhash.xxh3_128_intdigest(x) if x else None for x in found]
             h1 = pa.array([None if x is None else (x >> 64) - (1 << 63) for x in h], pa.int64())
             h2 = pa.array([None if x is None else (x & ((1 << 64) - 1)) - (1 << 63) for x in h], pa.int64())
@@ -90,7 +93,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             out: list[bytes] = [b""] * len(vectors)
             for size in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == size]
-                for i, m in zip(at, marks(unit([vectors[i] for i in at]))):
+                for i, m in zip(at, marks(unit([vectors[i] for i in at], kind))):
                     out[i] = m.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "marks"])
 
@@ -120,7 +123,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         if not len(left) or not len(right):
             return
-        x, m = unit(vectors), np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(len(node), TABLES)
+        x, m = unit(vectors, kind), np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(len(node), TABLES)
         near = x[left] @ x[right].T >= COSINE
         if p == q:
             near = np.triu(near, 1)
