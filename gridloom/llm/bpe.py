@@ -17,9 +17,11 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 ARRAY_MAX = 96
 CACHE_MAX = 400_000
@@ -171,26 +173,31 @@ def loaded(path: str | None) -> WordBpe:
     return _loaded[path]
 
 
-def encode(df: DataFrame, text_col: str = "text", vocabulary: str | None = None, out: str = "tokens") -> DataFrame:
-    """`df` with the column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers.
+def mapped(df: DataFrame, source: str, out: str, kind: str, keep: bool, work: Callable[[WordBpe], Callable], vocabulary: str | None) -> DataFrame:
+    """`df` with `out` made of the column `source`, which stays if `keep`.  A map over Arrow batches runs once, whatever is built on it."""
+    kept = [c for c in df.columns if c != out and (keep or c != source)]
+    read = [*(c for c in kept if c != source), source]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema) + f", `{out}` {kind}"
+    types = {"binary": pa.binary(), "string": pa.string()}
 
-    `vocabulary`: path of the file as the executors see it; None: the installed public one.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = work(loaded(vocabulary))
+        for batch in batches:
+            made = pa.array([one(x.as_py()) for x in batch.column(len(read) - 1)], types[kind])
+            yield pa.RecordBatch.from_arrays([*(batch.column(read.index(c)) for c in kept), made], [*kept, out])
 
-    @F.pandas_udf("binary")
-    def packed(texts):
-        bpe = loaded(vocabulary)
-        return texts.map(bpe.encode, na_action=None)
+    return df.select(*read).mapInArrow(run, schema)
 
-    return df.withColumn(out, packed(F.col(text_col)))
 
+def encode(df: DataFrame, text_col: str = "text", vocabulary: str | None = None, out: str = "tokens", keep: bool = True) -> DataFrame:
+    """`df` with the column `out`: the ids of `text_col`, packed as little-endian unsigned 32-bit integers.
 
-def decode(df: DataFrame, tokens_col: str = "tokens", vocabulary: str | None = None, out: str = "decoded") -> DataFrame:
-    """`df` with the column `out`: the text of the ids that `encode` packed; null ids give an empty text."""
+    `vocabulary`: path of the file as the executors see it; None: the installed public one.
+    `keep`: whether the texts stay.
+    """
+    return mapped(df, text_col, out, "binary", keep, lambda bpe: bpe.encode, vocabulary)
 
-    @F.pandas_udf("string")
-    def text(ids):
-        bpe = loaded(vocabulary)
-        return ids.map(lambda x: bpe.decode(x) if x else "", na_action=None)
 
-    return df.withColumn(out, text(F.col(tokens_col)))
+def decode(df: DataFrame, tokens_col: str = "tokens", vocabulary: str | None = None, out: str = "decoded", keep: bool = True) -> DataFrame:
+    """`df` with the column `out`: the text of the ids that `encode` packed; null ids give an empty text."""
+    return mapped(df, tokens_col, out, "string", keep, lambda bpe: lambda ids: bpe.decode(ids) if ids else "", vocabulary)
