@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and tokens (packed little-endian unsigned 32-bit ids) of every document."""
-    return bpe.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), "tokens")
+    return bpe.encode(docs.select("doc_id", "source", "text"), keep=False).select("doc_id", "source", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), "tokens")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
