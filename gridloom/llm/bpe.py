@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 ARRAY_MAX = 96
-CACHE_MAX = 400_000
+CACHE_MAX = 300_000
 NONE = 1 << 60
 
 # The split pattern of the vocabulary file, with Unicode's White_Space written out.
@@ -183,8 +183,10 @@ def mapped(df: DataFrame, source: str, out: str, kind: str, keep: bool, work: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = work(loaded(vocabulary))
         for batch in batches:
-            made = pa.array([one(x.as_py()) for x in batch.column(len(read) - 1)], types[kind])
-            yield pa.RecordBatch.from_arrays([*(batch.column(read.index(c)) for c in kept), made], [*kept, out])
+            for start in range(0, batch.num_rows, 1024):  # what is made of a batch is larger than the batch
+                part = batch.slice(start, 1024)
+                made = pa.array([one(x.as_py()) for x in part.column(len(read) - 1)], types[kind])
+                yield pa.RecordBatch.from_arrays([*(part.column(read.index(c)) for c in kept), made], [*kept, out])
 
     return df.select(*read).mapInArrow(run, schema)
 

@@ -42,7 +42,7 @@ ERRORS = 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK, TEXT_BLOCK = 1024, 256
-CACHE_MAX = 500_000
+CACHE_MAX = 150_000
 #: Odd multipliers and offsets of the min-hashes.
 _rng = np.random.default_rng(8)
 FACTORS = _rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

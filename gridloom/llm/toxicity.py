@@ -38,7 +38,7 @@ STEMS = (4, 6, 8)
 WINDOW = 10
 LEVEL = 3
 OUTER = ".,;:!?%*&$#\"'()[]{}|-_<>/\\"
-CACHE_MAX = 300_000
+CACHE_MAX = 150_000
 
 
 class Codes(dict):
