@@ -20,7 +20,7 @@ def lagged_edges(panel: DataFrame) -> DataFrame:
     seen = panel.filter(F.col("y").isNotNull()).select("session_no", "day", "symbol", "y")
     lags = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("lag")) for h, n in LAGS.items())))
     sources = seen.select(F.col("symbol").alias("source"), F.col("y").alias("x"), "session_no", lags.alias("l")).select("source", "x", "l.horizon", (F.col("session_no") + F.col("l.lag")).alias("session_no"))
-    targets = seen.select("session_no", F.col("symbol").alias("target"), "y", (F.year("day") * 4 + F.quarter("day")).alias("origin"))
+    targets = seen.select("session_no", F.col("symbol").alias("target"), "y", (F.year("day") * 4 + F.quarter("day")).cast("long").alias("origin"))
     pairs = sources.join(targets, "session_no").filter("source <> target")
     g = pairs.groupBy("origin", "source", "target", "horizon").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("c")).filter(F.col("n") >= LEAST_ROWS)
     return g.select("origin", "source", "target", "horizon", F.round("c", 6).alias("coefficient"), (F.abs(F.round("c", 6)) >= SELECTED).alias("selected"))
