@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import lasso
-from gridloom.operators.har import by_symbol, features
+from gridloom.operators.har import HORIZONS, by_symbol, features
 from gridloom.operators.tasks import dealt
 
 TERMS = ("d", "w", "m")
 LEAST = 60
+# Edge bootstraps: the first checkpoint, which is also the least training rows, the step, and the coefficient that counts as selected.
+FIRST_CHECKPOINT, CHECKPOINT_STEP, SELECTED = 252, 126, 1e-8
 
 
 def wide_design(design: DataFrame, symbols: list[str]) -> DataFrame:
@@ -133,25 +135,54 @@ def bootstrap_interval(draws: DataFrame, dates: DataFrame) -> DataFrame:
     return g.select("observed", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p_value")
 
 
-def edge_bootstrap(rows: DataFrame, symbols: list[str], replications: int, length: int, seed: int, circular: bool) -> DataFrame:
-    """How often each cross term is selected in block resamples of a target's last year of rows."""
-    recent = rows.withColumn("age", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("session_no")))).filter("age <= 252 and response is not null")
-    reps = recent.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replications - 1))))
-    at = {s: i for i, s in enumerate(symbols)}
+def edge_bootstrap(rows: DataFrame, symbols: list[str], replications: int, lengths: int | tuple[int, ...], seed: int, circular: bool, fraction: float | None = 0.1, first: int = FIRST_CHECKPOINT, every: int = CHECKPOINT_STEP) -> DataFrame:
+    """How often each cross term is selected, and with which sign, in block resamples of all training rows.
+
+    Checkpoints are the `first` origin, each `every` after it and the last; a checkpoint trains on the finite rows
+    of all origins before it.  A group is a target at a checkpoint: its penalty, of the observed rows, is kept over
+    the draws.  It is tuned by the one-SE rule where `fraction` is None, else that part of the top penalty.  Circular draws are shared: each target takes those of the longest one, modulo its
+    own rows.  Plain draws are each target's own.
+    """
+    lengths = (lengths,) if isinstance(lengths, int) else tuple(lengths)
+    month, at = HORIZONS["m"], {s: i for i, s in enumerate(symbols)}
+    # Origins are counted on the calendar: the first is the session that ends the first full month.
+    last = rows.agg((F.max("session_no") - month).cast("int").alias("last"))
+    steps = F.array_distinct(F.concat(F.sequence(F.lit(first), "last", F.lit(every)), F.array("last")))
+    checkpoints = F.filter(steps, lambda c: c > F.col("session_no") - month)
+    known = rows.filter("response is not null").join(F.broadcast(last.filter(F.col("last") >= first)))
+    spread = known.withColumn("checkpoint", F.explode(checkpoints)).drop("last")
+    longest = spread.groupBy("checkpoint", "symbol").count().groupBy("checkpoint").agg(F.max("count").alias("longest"))
+    spread = spread.join(longest, "checkpoint")
 
     def run(key, part):
-        symbol, rep = key
+        symbol, checkpoint = key
         part = part.sort_values("session_no")
         terms, y = np.array(part["terms"].tolist(), float), part["response"].to_numpy(float)
-        if len(y) < LEAST:
+        if len(y) < first:
             return pd.DataFrame([])
         mine = np.arange(3 * at[symbol], 3 * at[symbol] + 3)
         own, cross = terms[:, mine], np.delete(terms, mine, 1)
-        draw = lasso.block_draw(np.random.default_rng([seed, 0 if circular else at[symbol], int(rep)]), len(y), length, circular)
-        sample = lasso.Sample.of(own[draw], cross[draw], y[draw])
-        b = lasso.path(sample, [0.1 * lasso.top_penalty(sample)])[0]["cross"]
+        penalty = lasso.tune(own, cross, y)["one_se"] if fraction is None else fraction * lasso.top_penalty(lasso.Sample.of(own, cross, y))
         names = [(s, t) for s in symbols if s != symbol for t in TERMS]
-        return pd.DataFrame([{"target": symbol, "source": s, "horizon": t.upper(), "rep": int(rep), "selected": bool(v != 0), "coefficient": float(v)} for (s, t), v in zip(names, b)])
+        out = []
+        for length in lengths:
+            b = np.zeros((replications, len(names)))
+            for rep in range(replications):
+                if circular:
+                    draw = lasso.block_draw(np.random.default_rng([seed, int(checkpoint), rep]), int(part["longest"].iloc[0]), length, True) % len(y)
+                else:
+                    draw = lasso.block_draw(np.random.default_rng([seed, int(checkpoint), length, at[symbol], rep]), len(y), length, False)
+                b[rep] = lasso.path(lasso.Sample.of(own[draw], cross[draw], y[draw]), [penalty])[0]["cross"]
+            base = {"checkpoint": int(checkpoint), "training_end": int(checkpoint) + month - 1, "n_train": len(y), "block_length": length, "penalty": penalty, "target": symbol}
+            chosen = (np.abs(b) > SELECTED).mean(0)
+            out += [base | {"source": s, "horizon": t.upper(), "n": replications, "selection_probability": float(chosen[j]), "n_positive": int((b[:, j] > 0).sum()), "n_negative": int((b[:, j] < 0).sum()), "median_coefficient": float(np.median(b[:, j]))} for j, (s, t) in enumerate(names)]
+        return pd.DataFrame(out)
+
+    schema = "checkpoint int, training_end int, n_train int, block_length int, penalty double, target string, source string, horizon string, n bigint, selection_probability double, n_positive bigint, n_negative bigint, median_coefficient double"
+    return dealt(spread, "symbol", "checkpoint").groupBy("symbol", "checkpoint").applyInPandas(run, schema)
+
 
-    draws = dealt(reps, "symbol", "rep").groupBy("symbol", "rep").applyInPandas(run, "target string, source string, horizon string, rep int, selected boolean, coefficient double")
-    return draws.groupBy("target", "source", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("selected").cast("double")).alias("selection_probability"), F.median("coefficient").alias("median_coefficient"))
+def sign_consistency(edges: DataFrame) -> DataFrame:
+    """The share of an edge's nonzero draws that have its commoner sign; null where all draws are zero."""
+    nonzero = F.col("n_positive") + F.col("n_negative")
+    return edges.withColumn("sign_consistency", F.when(nonzero > 0, F.greatest("n_positive", "n_negative") / nonzero))

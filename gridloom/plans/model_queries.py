@@ -137,13 +137,13 @@ def loss_bootstrap(spark, sf):
 @query("edge_bootstrap")
 def edge_bootstrap(spark, sf):
     rows = issuance.blocks(har.features(daily(spark, sf)), MEMBERS, har.RETUNE)
-    return issuance.edge_bootstrap(rows, MEMBERS, 40, 20, 16, True)
+    return issuance.sign_consistency(issuance.edge_bootstrap(rows, MEMBERS, 200, (20, 5), 16, True, None))
 
 
 @query("edge_bootstrap_noncircular")
 def edge_bootstrap_noncircular(spark, sf):
     rows = issuance.blocks(har.features(daily(spark, sf)), MEMBERS, har.RETUNE)
-    return issuance.edge_bootstrap(rows, MEMBERS, 40, 20, 15, False)
+    return issuance.sign_consistency(issuance.edge_bootstrap(rows, MEMBERS, 200, (5, 20), 15, False, None))
 
 
 @query("hac_p_values")

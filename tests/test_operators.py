@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.functions import lasso
 from gridloom.operators import factors, grid, har, issuance, moments, network, returns, scoring, variance, windows
 from gridloom.sources import ledgers, panels
 from gridloom.streaming import prospective
@@ -112,6 +113,24 @@ def test_planted_edge_is_selected(spark):
     assert sorted(map(tuple, e.values.tolist())) == sorted(map(tuple, again.values.tolist()))
 
 
+def test_edge_bootstrap_covers_all_training_rows(spark):
+    symbols = ["AF", "AO", "NF", "NO", "RF", "RO"]
+    rows = issuance.blocks(har.features(level_panel(spark, n=560)), symbols, 20)
+    for circular in (True, False):
+        e = issuance.sign_consistency(issuance.edge_bootstrap(rows, symbols, 5, (20, 5), 1, circular, None)).toPandas()
+        # 538 origins with a target: checkpoints at 252, 378, 504 and the last; each trains on every origin before it.
+        assert sorted(set(zip(e["checkpoint"], e["n_train"], e["training_end"]))) == [(c, c, c + 21) for c in (252, 378, 504, 537)]
+        assert set(e["block_length"]) == {5, 20} and set(e["n"]) == {5} and len(e) == 4 * 2 * 6 * 15
+        nonzero = e["n_positive"] + e["n_negative"]
+        assert (e["sign_consistency"].isna() == (nonzero == 0)).all() and e["sign_consistency"].dropna().between(0.5, 1).all()
+        planted = e[(e["source"] == "AF") & (e["target"] == "NF") & (e["horizon"] == "D")]
+        assert len(planted) == 8 and (planted["sign_consistency"].dropna() == 1).all() and planted["selection_probability"].mean() > 2 * e["selection_probability"].mean()
+    part = rows.toPandas().query("symbol == 'NF' and session_no < 252 + 22").sort_values("session_no")
+    terms = np.array(part["terms"].tolist())
+    tuned = lasso.tune(terms[:, 6:9], np.delete(terms, [6, 7, 8], 1), part["response"].to_numpy())["one_se"]
+    assert np.allclose(e[(e["target"] == "NF") & (e["checkpoint"] == 252)]["penalty"], tuned)
+
+
 def test_score_statuses(spark):
     ledger = spark.createDataFrame([("a", t, m, 1.0, 1.0) for t in range(1, 6) for m in ("x", "y")], "symbol string, target_no int, model string, forecast double, origin_level double")
     outcomes = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 0.0), ("a", 3, 1.0), ("a", 5, 1.0)], "symbol string, target_no int, outcome double")
