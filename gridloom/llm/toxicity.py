@@ -10,8 +10,9 @@ the bytes saved by the extension are the window's distance.  Windows that save a
 calibrated number of bytes count, and a logistic curve, fitted on labelled rows that the
 dictionaries have not seen, turns their sum, the largest and the text's length into the score.
 
-Fitting uses at most `max_rows` labelled rows of each class and `max_windows` windows of each,
-spread over the whole text; both are parameters.  Scoring reads every whole text.
+Fitting uses at most `max_rows` labelled rows of each class.  The dictionaries learn from at most
+`max_windows` windows of each, spread over the whole text; both are parameters.  Calibration, like
+scoring, reads every window of its rows: executors measure them, and only the measures are collected.
 
 Defined results: null and empty texts have no windows and get the score of a sum of 0; a null id
 counts as the empty text for the fold; null labels are not learned from; without labels of both
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,7 @@ WINDOW = 10
 LEVEL = 3
 OUTER = ".,;:!?%*&$#\"'()[]{}|-_<>/\\"
 CACHE_MAX = 150_000
+LEAST_GAINS = range(2, 13)
 
 
 class Codes(dict):
@@ -69,6 +71,14 @@ def compressor(dictionary: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=held, compression_params=params)
 
 
+def saver(ordinary: bytes, toxic: bytes) -> Callable[[list[bytes]], list[int]]:
+    """A function from coded windows to the bytes that the extension saves in each; nothing without one."""
+    if not toxic:
+        return lambda found: [0] * len(found)
+    pack, pack_more = compressor(ordinary).compress, compressor(ordinary + toxic).compress
+    return lambda found: [len(pack(w)) - len(pack_more(w)) for w in found]
+
+
 @dataclass(frozen=True)
 class Model:
     """What fitting leaves: a few kB, sent to the executors with the task."""
@@ -83,11 +93,10 @@ class Model:
         """A function from coded windows to a score between 0 and 1."""
         if not self.toxic:
             return lambda _: self.offset
-        plain, more = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
-        pack, pack_more, least = plain.compress, more.compress, self.least_gain
+        gains, least = saver(self.ordinary, self.toxic), self.least_gain
 
         def score(found: list[bytes]) -> float:
-            values = measures([len(pack(w)) - len(pack_more(w)) for w in found], least)
+            values = measures(gains(found), least)
             z = sum(a * v for a, v in zip(self.slopes, values)) + self.offset
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -169,17 +178,11 @@ def measures(gains: list[int], least: int) -> tuple[float, float, float]:
     return math.log1p(sum(enough)), math.log1p(max(enough, default=0)), math.log1p(len(gains))
 
 
-def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096, totals: tuple[int, int] | None = None) -> Model:
-    """Fit on (label, part, windows); part 3 calibrates, the others train the dictionaries.
-
-    totals: ordinary and toxic labels behind the rows, where these are an uneven sample of them.
-    """
-    rows = [r for r in rows if r[2]]
-    share = sum(r[0] for r in rows) / len(rows) if rows else 0.0
-    learn = without_copies([(bool(t), w) for t, part, w in rows if part != 3])
-    held = [(t, w) for t, part, w in rows if part == 3]
-    if len({t for t, _ in learn}) < 2 or len({t for t, _ in held}) < 2:
-        return Model(b"", b"", 1, (), share)
+def dictionaries(rows: list[tuple[int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096) -> tuple[bytes, bytes]:
+    """The ordinary dictionary and its toxic extension, from (label, windows); both empty where they can't be trained."""
+    learn = without_copies([(bool(t), w) for t, w in rows if w])
+    if len({t for t, _ in learn}) < 2:
+        return b"", b""
     good = distinctive(learn)
     toxic_samples = []
     for toxic, found in learn:
@@ -189,18 +192,30 @@ def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192
             toxic_samples += [b"".join(own[i : i + 4]) for i in range(0, len(own), 4)]
     ordinary = trained([w for toxic, found in learn if not toxic for w in found[:20]], ordinary_size, 32)
     extension = trained(toxic_samples, toxic_size, 8)
-    if not extension:
+    return (ordinary, extension) if extension else (b"", b"")
+
+
+def candidates(gains: list[int]) -> list[float]:
+    """The measures of a text for each of LEAST_GAINS, one after the other."""
+    return [v for least in LEAST_GAINS for v in measures(gains, least)]
+
+
+def calibrated(ordinary: bytes, extension: bytes, held: list[tuple[int, list[float]]], share: float, totals: tuple[int, int] | None = None) -> Model:
+    """The least gain of least loss, and its logistic curve, from (label, candidates); a model that says `share` where it can't be had.
+
+    totals: ordinary and toxic labels behind the rows, where these are an uneven sample of them.
+    """
+    if not extension or len({t for t, _ in held}) < 2:
         return Model(b"", b"", 1, (), share)
-    plain, more = compressor(ordinary), compressor(ordinary + extension)
-    gains = [[len(plain.compress(w)) - len(more.compress(w)) for w in found] for _, found in held]
+    every = np.array([x for _, x in held]).reshape(len(held), len(LEAST_GAINS), 3)
     y = np.array([t for t, _ in held], float)
     of = (len(y) - y.sum(), y.sum())
     shares = totals or of
     weight = np.where(y > 0, shares[1] / of[1], shares[0] / of[0])
     weight *= len(y) / weight.sum()
     best = None
-    for least in range(2, 13):
-        x = np.array([measures(gs, least) for gs in gains])
+    for k, least in enumerate(LEAST_GAINS):
+        x = every[:, k]
         *slopes, offset = map(float, logistic(x, y, weight))
         z = np.clip(x @ np.array(slopes) + offset, -30, 30)
         loss = float(np.mean(weight * (np.logaddexp(0, z) - y * z)))
@@ -209,6 +224,15 @@ def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192
     return Model(ordinary, extension, *best[1:])
 
 
+def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096, totals: tuple[int, int] | None = None) -> Model:
+    """Fit on (label, part, windows); part 3 calibrates, the others train the dictionaries."""
+    rows = [r for r in rows if r[2]]
+    share = sum(r[0] for r in rows) / len(rows) if rows else 0.0
+    pair = dictionaries([(t, w) for t, part, w in rows if part != 3], ordinary_size, toxic_size)
+    gains = saver(*pair)
+    return calibrated(*pair, [(t, candidates(gains(w))) for t, part, w in rows if part == 3], share, totals)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_windows: int = 64) -> Model:
     """Learn from labelled rows outside the held-out fold; at most `max_rows` of each class, chosen by a hash of the id."""
     allowed = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -218,6 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_windows: i
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_rows rows of two numbers
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", (F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 4).cast("int").alias("part"), "text")
 
+    texts = settle(texts, "labelled")
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -227,9 +253,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_windows: i
                 out.append(found[::step])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["toxic", "part", "windows"])
 
-    rows = texts.mapInArrow(coded, "toxic int, part int, windows array<binary>").collect()
-    rows = sorted((int(r["toxic"]), int(r["part"]), [bytes(w) for w in r["windows"]]) for r in rows)
-    return fit_rows(rows, totals=(sums.get(0, 0), sums.get(1, 0)))
+    rows = texts.filter("part <> 3").mapInArrow(coded, "toxic int, part int, windows array<binary>").collect()
+    rows = sorted((int(r["toxic"]), int(r["part"]), [bytes(w) for w in r["windows"]]) for r in rows if r["windows"])
+    labels_seen = [t for t, _, _ in rows]
+    pair = dictionaries([(t, w) for t, _, w in rows])
+    del rows
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = saver(*pair)
+        for batch in batches:
+            found = [gains(windows(text.as_py())) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([candidates(g) if g else None for g in found], pa.list_(pa.float64()))], ["toxic", "measures"])
+
+    held = texts.filter("part = 3").select("toxic", "text").mapInArrow(measured, "toxic int, measures array<double>").filter("measures is not null").collect()
+    held = sorted((int(r["toxic"]), list(r["measures"])) for r in held)
+    labels_seen += [t for t, _ in held]
+    share = sum(labels_seen) / len(labels_seen) if labels_seen else 0.0
+    return calibrated(*pair, held, share, (sums.get(0, 0), sums.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

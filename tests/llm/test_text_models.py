@@ -78,6 +78,29 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted for r, y in pairs if y]) > 0.8
 
 
+def test_toxicity_calibrates_on_all_windows(spark):
+    rng = np.random.default_rng(5)
+    ordinary, toxic = [f"w{i}" for i in range(400)], [f"vile{i}x" for i in range(12)]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(ordinary, int(rng.choice([60, 1500]))))
+        if i % 2:  # in one or two windows, which strides over long texts mostly miss
+            at = int(rng.integers(0, len(words) - 12))
+            words[at : at + 12] = list(rng.choice(toxic, 12))
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    plain = []
+    for i, text, label in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            part, found = zlib.crc32(f"part{i}".encode()) % 4, toxicity.windows(text)
+            plain.append((label, part, found if part == 3 else found[:: max(1, -(-len(found) // 64))]))
+    whole = toxicity.fit_rows(sorted(plain), totals=(sum(r[0] == 0 for r in plain), sum(r[0] == 1 for r in plain)))
+    assert whole.toxic and (model.toxic, model.ordinary, model.least_gain) == (whole.toxic, whole.ordinary, whole.least_gain)
+    assert np.allclose((*model.slopes, model.offset), (*whole.slopes, whole.offset), rtol=1e-6)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (4, "a " * 20000), (4, "a " * 20000)], "doc_id bigint, text string")
     empty = toxicity.fit_rows([])
