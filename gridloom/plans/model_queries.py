@@ -9,14 +9,14 @@ from gridloom.plans.panel_queries import BENCH, MEMBERS, STOCKS, daily, days, pa
 from gridloom.plans.registry import query
 from gridloom.sources import panels
 
-STARTS = 60
+STARTS = 200
 
 
 def whole_moments(spark, sf):
     return moments.gram(wide(spark, sf), [], MEMBERS)
 
 
-def by_window(spark, sf, width=60, step=20):
+def by_window(spark, sf, width=60, step=5):
     d = days(spark, sf)
     inside = windows.sessions_of(windows.rolling(d, width, step), d).select("window_no", "session_no").join(wide(spark, sf), "session_no")
     return moments.gram(inside, ["window_no"], MEMBERS).filter(F.col("n") > 3 * len(MEMBERS))
@@ -77,7 +77,7 @@ def local_factor_test(spark, sf):
 @query("session_bootstrap")
 def session_bootstrap(spark, sf):
     months = wide(spark, sf).join(days(spark, sf), "session_no").withColumn("session", F.date_format("day", "yyyy-MM"))
-    return factors.session_bootstrap(moments.gram(months, ["session"], MEMBERS), 40, 3, STARTS, 916, spark)
+    return factors.session_bootstrap(moments.gram(months, ["session"], MEMBERS), 40, 3, 100, 916, spark)
 
 
 @query("rolling_pca")
@@ -97,8 +97,8 @@ def kalman_windows(spark, sf):
 
 def causal(spark, sf):
     d = days(spark, sf)
-    w = windows.rolling(d, 120, 20)
-    fits = factors.causal_fits(by_window(spark, sf, 120, 20), MEMBERS, 1)
+    w = windows.rolling(d, 120, 5)
+    fits = factors.causal_fits(by_window(spark, sf, 120, 5), MEMBERS, 1)
     return factors.apply_causal(wide(spark, sf), windows.assignment(windows.score_blocks(w, d), d), fits, BENCH, STOCKS)
 
 

@@ -45,7 +45,7 @@ def session_bootstrap_summary(spark, sf):
 
 def labelled(spark, sf):
     d = days(spark, sf)
-    w = windows.rolling(d, 60, 20)
+    w = windows.rolling(d, 60, 5)
     return w, windows.regimes(windows.sessions_of(w, d).withColumn("regime", F.year("day").cast("string")))
 
 
@@ -62,7 +62,7 @@ def regime_summary(spark, sf):
 
 @query("start_sensitivity")
 def start_sensitivity(spark, sf):
-    refit = factors.stability(factors.rolling_rotations(models.by_window(spark, sf), 2, 2 * models.STARTS))
+    refit = factors.stability(factors.rolling_rotations(models.by_window(spark, sf), 2, 500))
     return summaries.compared(models.rolling_l1_stability(spark, sf), refit)
 
 

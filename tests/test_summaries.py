@@ -65,3 +65,10 @@ def test_declared_pairs_are_tested_and_adjusted(spark):
     assert all(0 <= r.p_value <= r.holm <= 1 and r.n > 100 for r in rows)
     by_lag = sorted((r.p_value, r.holm) for r in rows if r.lag == 5)
     assert [h for _, h in by_lag] == sorted(h for _, h in by_lag)
+
+
+def test_rolling_fits_step_by_five_sessions(spark):
+    from gridloom.plans import model_queries as models
+
+    last = models.days(spark, SF).count()
+    assert models.by_window(spark, SF).select("window_no").distinct().count() == len({*range(1, last - 58, 5), last - 59})
