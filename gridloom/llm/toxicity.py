@@ -1,32 +1,35 @@
 """Toxicity by compression distance (operator 5).
 
-Words are compressed, not letters: a word becomes the 8-byte code of its lower-case form without
-outer punctuation, followed by the codes of its first 4, 6 and 8 letters where it is longer (`STEMS`), so that a
-shared word or stem saves the same number of bytes whatever its spelling.  Two Zstandard
-dictionaries are trained, one on ordinary text, one on what sets toxic text apart from it (codes
-that significantly more of its windows hold).  A window of `WINDOW` words is compressed
-once with the ordinary dictionary and once with the ordinary dictionary that the toxic one extends;
-the bytes saved by the extension are the window's distance.  Windows that save at least the
-calibrated number of bytes count, and a logistic curve, fitted on labelled rows that the
-dictionaries have not seen, turns their sum, the largest and the text's length into the score.
-
-Fitting uses at most `max_rows` labelled rows of each class.  The dictionaries learn from at most
-`max_windows` windows of each, spread over the whole text; both are parameters.  Calibration, like
-scoring, reads every window of its rows: executors measure them, and only the measures are collected.
-
-Defined results: null and empty texts have no windows and get the score of a sum of 0; a null id
-counts as the empty text for the fold; null labels are not learned from; without labels of both
-classes every score is the share of toxic labels, or 0.
+A text is cut into windows of `WINDOW` words: raw letters, in lower case, without the punctuation around words.
+Zstandard dictionaries are trained straight on such windows, separate ones on toxic and on ordinary
+text, `PAIRS` of each from disjoint parts of the labelled documents.  A window is compressed with the dictionaries of
+both kinds; by how many bytes the toxic ones make it shorter, on average over the pairs, is its
+distance.  Random prose matches one dictionary or another by chance; what is left in the average over
+pairs that have seen different documents is what toxic texts have in common.  Each pair's savings are taken less
+their mean over ordinary calibrating windows.
+
+Pairs are asked one after the other: a window whose mean saving so far is under `LOOK` bytes counts as 0 and is
+not asked further, everywhere alike.  A text's measures are the shares of its windows that save at
+least each of `STEPS` bytes, the largest saving, and the sum of the savings of at least a calibrated
+threshold; a logistic curve, fitted on labelled documents that no dictionary has seen, turns them into the score.
+
+Fitting uses at most `max_rows` distinct labelled (id, text) rows of each class, chosen by a hash, less near copies
+of one another; nothing else is bounded.  Dictionaries are trained by tasks, one each, and only they, three hashes
+a row and the measures of calibrating rows reach the driver.
+
+Defined results: null and empty texts have no windows and get the score of a text that saves nothing; a null id
+counts as the empty text for the fold; null labels are not learned from; an id with several labels is toxic if one says so;
+without labels of both classes every score is the share of toxic labels, or 0.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard as zs
@@ -35,130 +38,126 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import crc_remainder, settle
 
-STEMS = (4, 6, 8)
-WINDOW = 10
-LEVEL = 3
+WINDOW = 4
+PAIRS = 8
+LOOK = 1.0
+SIZE, SEGMENT, DMER = 65536, 64, 8
+STEPS = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
+LEAST_GAINS = tuple(x / 4 for x in range(2, 24))
 OUTER = ".,;:!?%*&$#\"'()[]{}|-_<>/\\"
-CACHE_MAX = 150_000
-LEAST_GAINS = range(2, 13)
+CHUNK = 20_000
 
 
-class Codes(dict):
-    """The codes of a word, kept for up to CACHE_MAX words."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_MAX:
-            self.clear()
-        bare = word.lower().strip(OUTER) or word
-        code = xxhash.xxh3_64_digest(bare) + b"".join(xxhash.xxh3_64_digest(bare[:k] + "~") for k in STEMS if len(bare) > k)
-        self[word] = code
-        return code
-
+def windows(text: str | None) -> list[bytes]:
+    """The windows of a whole text, a space before, between and after their words."""
+    words = [w.strip(OUTER) or w for w in (text or "").lower().split()]
+    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW)]
 
-_codes = Codes()
 
+def trained(samples: list[bytes], size: int = SIZE) -> bytes:
+    """A Zstandard dictionary of the distinct samples, or these themselves where they are too few to train on.
 
-def windows(text: str | None) -> list[bytes]:
-    """The coded windows of a whole text."""
-    codes = list(map(_codes.__getitem__, (text or "").split()))
-    return [b"".join(codes[i : i + WINDOW]) for i in range(0, len(codes), WINDOW)]
+    In the order of their hashes: repeated or sorted samples make the training stop early.
+    """
+    samples = sorted(set(samples), key=xxhash.xxh64_intdigest)
+    try:
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()
+    except (zs.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
 
 
-def compressor(dictionary: bytes) -> zs.ZstdCompressor:
-    params = zs.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+def compressor(dictionary: bytes) -> Callable[[bytes], bytes]:
+    params = zs.ZstdCompressionParameters(
+        strategy=zs.STRATEGY_BTOPT, window_log=20, hash_log=15, chain_log=17, search_log=4, min_match=3, target_length=64,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS,
+    )
     held = zs.ZstdCompressionDict(dictionary)
-    held.precompute_compress(level=LEVEL)
-    return zs.ZstdCompressor(dict_data=held, compression_params=params)
-
-
-def saver(ordinary: bytes, toxic: bytes) -> Callable[[list[bytes]], list[int]]:
-    """A function from coded windows to the bytes that the extension saves in each; nothing without one."""
-    if not toxic:
-        return lambda found: [0] * len(found)
-    pack, pack_more = compressor(ordinary).compress, compressor(ordinary + toxic).compress
-    return lambda found: [len(pack(w)) - len(pack_more(w)) for w in found]
+    held.precompute_compress(compression_params=params)
+    return zs.ZstdCompressor(dict_data=held, compression_params=params).compress
 
 
 @dataclass(frozen=True)
-class Model:
-    """What fitting leaves: a few kB, sent to the executors with the task."""
+class Pair:
+    """Two dictionaries, and what the toxic one saves in an ordinary window on average."""
 
     ordinary: bytes
     toxic: bytes
-    least_gain: int
-    slopes: tuple[float, ...]
-    offset: float
+    bias: float = 0.0
+
+    def difference(self) -> Callable[[bytes], int]:
+        """A function from a window to the bytes that the toxic dictionary makes it shorter."""
+        ordinary, toxic = compressor(self.ordinary), compressor(self.toxic)
+        return lambda window: len(ordinary(window)) - len(toxic(window))
+
+
+def saver(pairs: tuple[Pair, ...]) -> Callable[[list[bytes]], list[float]]:
+    """A function from windows to what the toxic dictionaries save in each, in bytes a pair."""
+    if not pairs:
+        return lambda found: [0.0] * len(found)
+    steps = [(p.difference(), p.bias, LOOK * k) for k, p in enumerate(pairs, 1)]
+
+    def gains(found: list[bytes]) -> list[float]:
+        # Pair by pair over all windows: the tables of two dictionaries fit a core's cache, those of all don't.
+        saved = dict.fromkeys(found, 0.0)
+        left = list(saved)
+        for difference, bias, least in steps:
+            so_far = [saved[w] + difference(w) - bias for w in left]
+            saved.update((w, g if g >= least else 0.0) for w, g in zip(left, so_far))
+            left = [w for w, g in zip(left, so_far) if g >= least]
+        return [saved[w] / len(steps) for w in found]
+
+    return gains
+
+
+def each(gains: Callable[[list[bytes]], list[float]], texts: Iterable[str | None]) -> Iterator[list[float]]:
+    """The savings of every text's windows, looked up for about CHUNK windows at once."""
+    held: list[list[bytes]] = []
+
+    def flush() -> Iterator[list[float]]:
+        flat = gains([w for found in held for w in found])
+        at = 0
+        for found in held:
+            yield flat[at : at + len(found)]
+            at += len(found)
+        held.clear()
+
+    n = 0
+    for text in texts:
+        held.append(windows(text))
+        n += len(held[-1])
+        if n >= CHUNK:
+            yield from flush()
+            n = 0
+    yield from flush()
+
+
+def measures(gains: list[float]) -> list[float]:
+    """Shares of windows that save STEPS, the largest saving, then the sums over each of LEAST_GAINS."""
+    x = np.asarray(gains, float)
+    n = max(len(x), 1)
+    most = max(float(x.max()), 0.0) if len(x) else 0.0
+    return [math.sqrt(float((x >= s).sum()) / n) for s in STEPS] + [math.log1p(most)] + [math.log1p(float(x[x >= least].sum())) for least in LEAST_GAINS]
 
-    def scorer(self):
-        """A function from coded windows to a score between 0 and 1."""
-        if not self.toxic:
-            return lambda _: self.offset
-        gains, least = saver(self.ordinary, self.toxic), self.least_gain
-
-        def score(found: list[bytes]) -> float:
-            values = measures(gains(found), least)
-            z = sum(a * v for a, v in zip(self.slopes, values)) + self.offset
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-        return score
-
-
-def trained(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A Zstandard dictionary of segments of that many bytes, or the samples themselves where they are too few to train on."""
-    samples = [s for s in samples if s]
-    try:
-        return zs.train_dictionary(size, samples, k=segment, d=8).as_bytes()
-    except (zs.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
-
-
-def without_copies(rows: list[tuple[bool, list[bytes]]]) -> list[tuple[bool, list[bytes]]]:
-    """The rows without near copies of earlier ones of their class: those that share one of three min-hashes of code 4-grams.
-
-    Else the accidental words of a much copied toxic text would look like toxic ones.
-    """
-    seen: set[tuple[bool, int, int]] = set()
-    out = []
-    for toxic, found in rows:
-        codes = np.frombuffer(b"".join(found), np.uint64)
-        n = max(len(codes) - 3, 1)
-        grams = np.zeros(n, np.uint64)
-        for i in range(min(4, len(codes))):
-            grams = (grams ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        least = [(toxic, k, int((grams * np.uint64(m)).min())) for k, m in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))]
-        if seen.isdisjoint(least):
-            out.append((toxic, found))
-        seen.update(least)
-    return out
 
+@dataclass(frozen=True)
+class Model:
+    """What fitting leaves: half a MB, sent to the executors with the task."""
 
-def overrepresented(counts: dict[bool, Counter], n: dict[bool, int], ratio: float, deviations: float = 6.0) -> set[bytes]:
-    """Codes of which toxic units have significantly more than chance, and at least four."""
-    out = set()
-    for code, k in counts[True].items():
-        p = (counts[False][code] + 0.5) / (n[False] + 1)
-        mean = p * n[True]
-        if k >= 4 and k > ratio * mean and (k - mean) > deviations * math.sqrt(mean * max(1 - p, 1e-9)):
-            out.add(code)
-    return out
-
+    pairs: tuple[Pair, ...]
+    threshold: int
+    slopes: tuple[float, ...]
+    offset: float
 
-def distinctive(rows: list[tuple[bool, list[bytes]]]) -> set[bytes]:
-    """Codes that are overrepresented in toxic documents and in distinct toxic windows alike.
+    def score(self, gains: list[float]) -> float:
+        """A text's score between 0 and 1 from its windows' savings."""
+        if not self.pairs:
+            return self.offset
+        fixed, m = len(STEPS) + 1, measures(gains)
+        z = sum(a * v for a, v in zip(self.slopes, [*m[:fixed], m[fixed + self.threshold]])) + self.offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    A text that repeats a line counts once as a document; a passage that many texts share counts once as a window.
-    """
-    codes = lambda unit: {unit[i : i + 8] for i in range(0, len(unit), 8)}
-    documents, windows_, n, m = {}, {}, {}, {}
-    for kind in (True, False):
-        own = [found for toxic, found in rows if toxic is kind]
-        distinct = {w for found in own for w in found}
-        documents[kind], n[kind] = Counter(c for found in own for c in codes(b"".join(found))), len(own)
-        windows_[kind], m[kind] = Counter(c for w in distinct for c in codes(w)), len(distinct)
-    return overrepresented(documents, n, 4.0) & overrepresented(windows_, m, 6.0)
 
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Slopes, then the offset, of a weighted logistic fit by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
@@ -172,114 +171,114 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def measures(gains: list[int], least: int) -> tuple[float, float, float]:
-    """What a text's windows save: the sum of those that save enough, the most, and the text's length."""
-    enough = [g for g in gains if g >= least]
-    return math.log1p(sum(enough)), math.log1p(max(enough, default=0)), math.log1p(len(gains))
-
-
-def dictionaries(rows: list[tuple[int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096) -> tuple[bytes, bytes]:
-    """The ordinary dictionary and its toxic extension, from (label, windows); both empty where they can't be trained."""
-    learn = without_copies([(bool(t), w) for t, w in rows if w])
-    if len({t for t, _ in learn}) < 2:
-        return b"", b""
-    good = distinctive(learn)
-    toxic_samples = []
-    for toxic, found in learn:
-        if toxic:
-            joined = b"".join(found)
-            own = [c for i in range(0, len(joined), 8) if (c := joined[i : i + 8]) in good]
-            toxic_samples += [b"".join(own[i : i + 4]) for i in range(0, len(own), 4)]
-    ordinary = trained([w for toxic, found in learn if not toxic for w in found[:20]], ordinary_size, 32)
-    extension = trained(toxic_samples, toxic_size, 8)
-    return (ordinary, extension) if extension else (b"", b"")
-
-
-def candidates(gains: list[int]) -> list[float]:
-    """The measures of a text for each of LEAST_GAINS, one after the other."""
-    return [v for least in LEAST_GAINS for v in measures(gains, least)]
-
-
-def calibrated(ordinary: bytes, extension: bytes, held: list[tuple[int, list[float]]], share: float, totals: tuple[int, int] | None = None) -> Model:
-    """The least gain of least loss, and its logistic curve, from (label, candidates); a model that says `share` where it can't be had.
+def calibrated(pairs: tuple[Pair, ...], held: list[tuple[int, list[float]]], share: float, totals: tuple[int, int] | None = None) -> Model:
+    """The threshold of least loss, and its logistic curve, from (label, measures); a model that says `share` where it can't be had.
 
     totals: ordinary and toxic labels behind the rows, where these are an uneven sample of them.
     """
-    if not extension or len({t for t, _ in held}) < 2:
-        return Model(b"", b"", 1, (), share)
-    every = np.array([x for _, x in held]).reshape(len(held), len(LEAST_GAINS), 3)
+    if not pairs or len({t for t, _ in held}) < 2:
+        return Model((), 0, (), share)
+    every = np.array([x for _, x in held])
     y = np.array([t for t, _ in held], float)
     of = (len(y) - y.sum(), y.sum())
     shares = totals or of
     weight = np.where(y > 0, shares[1] / of[1], shares[0] / of[0])
     weight *= len(y) / weight.sum()
-    best = None
-    for k, least in enumerate(LEAST_GAINS):
-        x = every[:, k]
+    fixed, best = len(STEPS) + 1, None
+    for k in range(len(LEAST_GAINS)):
+        x = every[:, [*range(fixed), fixed + k]]
         *slopes, offset = map(float, logistic(x, y, weight))
         z = np.clip(x @ np.array(slopes) + offset, -30, 30)
         loss = float(np.mean(weight * (np.logaddexp(0, z) - y * z)))
         if best is None or loss < best[0]:
-            best = (loss, least, tuple(slopes), offset)
-    return Model(ordinary, extension, *best[1:])
+            best = (loss, k, tuple(slopes), offset)
+    return Model(pairs, *best[1:])
+
+
+def sketch(text: str | None) -> list[int]:
+    """Three min-hashes of a text's word triples."""
+    words = (text or "").lower().split()
+    grams = [xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
+    h = np.array(grams, np.uint64)
+    return [int((h * np.uint64(m)).min() >> np.uint64(1)) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-def fit_rows(rows: list[tuple[int, int, list[bytes]]], ordinary_size: int = 8192, toxic_size: int = 4096, totals: tuple[int, int] | None = None) -> Model:
-    """Fit on (label, part, windows); part 3 calibrates, the others train the dictionaries."""
-    rows = [r for r in rows if r[2]]
-    share = sum(r[0] for r in rows) / len(rows) if rows else 0.0
-    pair = dictionaries([(t, w) for t, part, w in rows if part != 3], ordinary_size, toxic_size)
-    gains = saver(*pair)
-    return calibrated(*pair, [(t, candidates(gains(w))) for t, part, w in rows if part == 3], share, totals)
+def fresh(rows: Iterable[tuple[int, int, list[int]]]) -> list[int]:
+    """Keys of the rows (key, label, sketch) without near copies: those that share a min-hash with an earlier one of their class."""
+    seen: set[tuple[int, int, int]] = set()
+    out = []
+    for key, label, found in rows:
+        marks = [(label, k, x) for k, x in enumerate(found)]
+        if seen.isdisjoint(marks):
+            out.append(key)
+        seen.update(marks)
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_windows: int = 64) -> Model:
-    """Learn from labelled rows outside the held-out fold; at most `max_rows` of each class, chosen by a hash of the id."""
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[DataFrame, tuple[int, int]]:
+    """Labelled rows to fit on (key, toxic, part, pair, text), at most `max_rows` distinct ones a class, and how many there are of each class."""
     allowed = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    allowed = settle(allowed, "labels")
-    sums = {r["toxic"]: r["count"] for r in allowed.groupBy("toxic").count().collect()}
-    parts = [allowed.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for t in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_rows rows of two numbers
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", (F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 4).cast("int").alias("part"), "text")
+    keyed = docs.select("doc_id", F.col("text").alias("text"), F.xxhash64(F.lit("toxicity"), "doc_id", "text").alias("key"))
+    known = settle(keyed.select("doc_id", "key").join(allowed, "doc_id").groupBy("doc_id", "key").agg(F.max("toxic").alias("toxic")), "labels")
+    sums = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = [known.filter(F.col("toxic") == t).orderBy("key", "doc_id").limit(max_rows) for t in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_rows rows of three numbers
+    rows = keyed.join(chosen, ["doc_id", "key"]).filter(F.col("text").isNotNull()).dropDuplicates(["doc_id", "key"])
+    rows = rows.select("key", "toxic", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).cast("int").alias("part"), F.pmod(F.xxhash64(F.lit("pair"), "doc_id"), F.lit(PAIRS)).cast("int").alias("pair"), "text")
+    return settle(rows, "labelled"), (sums.get(0, 0), sums.get(1, 0))
+
 
-    texts = settle(texts, "labelled")
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
+    """Learn from labelled rows outside the held-out fold; at most `max_rows` distinct rows of each class."""
+    rows, totals = sampled(docs, labels, max_rows)
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(2):
-                found = windows(text.as_py())
-                step = max(1, -(-len(found) // max_windows))
-                out.append(found[::step])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["toxic", "part", "windows"])
-
-    rows = texts.filter("part <> 3").mapInArrow(coded, "toxic int, part int, windows array<binary>").collect()
-    rows = sorted((int(r["toxic"]), int(r["part"]), [bytes(w) for w in r["windows"]]) for r in rows if r["windows"])
-    labels_seen = [t for t, _, _ in rows]
-    pair = dictionaries([(t, w) for t, _, w in rows])
-    del rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(t.as_py()) for t in batch.column(2)], pa.list_(pa.int64()))], ["key", "toxic", "sketch"])
+
+    found = rows.select("key", "toxic", "text").mapInArrow(sketched, "key bigint, toxic int, sketch array<bigint>").collect()
+    kept = fresh(sorted((r["key"], r["toxic"], list(r["sketch"])) for r in found))
+    share = sum(r["toxic"] for r in found) / len(found) if found else 0.0
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in kept], "key bigint")), "key")
+
+    def train(key, group: pd.DataFrame) -> pd.DataFrame:
+        samples = [w for text in group.sort_values("key")["text"] for w in windows(text)]
+        return pd.DataFrame({"toxic": [key[0]], "pair": [key[1]], "dictionary": [trained(samples)]})
+
+    made = rows.filter("part <> 3").select("key", "toxic", "pair", "text").repartition(2 * PAIRS, "toxic", "pair").groupBy("toxic", "pair").applyInPandas(train, "toxic int, pair int, dictionary binary").collect()
+    of = {(r["toxic"], r["pair"]): bytes(r["dictionary"]) for r in made}
+    pairs = tuple(Pair(of[0, k], of[1, k]) for k in range(PAIRS) if of.get((0, k)) and of.get((1, k)))
+    held = rows.filter("part = 3").select("toxic", "text").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [p.difference() for p in pairs]
+        for batch in batches:
+            found = [w for text in batch.column(0) for w in windows(text.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([[sum(map(d, found)) for d in asked]], pa.list_(pa.int64()))], ["n", "sums"])
+
+    sums = held.filter("toxic = 0").select("text").mapInArrow(differences, "n bigint, sums array<bigint>").collect()
+    n = sum(r["n"] for r in sums)
+    if n:
+        pairs = tuple(Pair(p.ordinary, p.toxic, sum(r["sums"][k] for r in sums) / n) for k, p in enumerate(pairs))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = saver(*pair)
+        gains = saver(pairs)
         for batch in batches:
-            found = [gains(windows(text.as_py())) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([candidates(g) if g else None for g in found], pa.list_(pa.float64()))], ["toxic", "measures"])
+            values = [measures(g) for g in each(gains, (text.as_py() for text in batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["toxic", "measures"])
 
-    held = texts.filter("part = 3").select("toxic", "text").mapInArrow(measured, "toxic int, measures array<double>").filter("measures is not null").collect()
-    held = sorted((int(r["toxic"]), list(r["measures"])) for r in held)
-    labels_seen += [t for t, _ in held]
-    share = sum(labels_seen) / len(labels_seen) if labels_seen else 0.0
-    return calibrated(*pair, held, share, (sums.get(0, 0), sums.get(1, 0)))
+    found = held.mapInArrow(measured, "toxic int, measures array<double>").collect()
+    return calibrated(pairs, sorted((int(r["toxic"]), list(r["measures"])) for r in found), share, totals)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, held_out, score and predicted for every row of `docs`."""
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        gains = saver(model.pairs)
         for batch in batches:
-            values = [scorer(windows(t.as_py())) for t in batch.column(2)]
+            values = [model.score(g) for g in each(gains, (t.as_py() for t in batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], [id_col, "held_out", "score"])
 
     rows = docs.select(id_col, (crc_remainder(id_col, 5) == 0).alias("held_out"), text_col)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard as zs
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, langid, toxicity
@@ -75,35 +76,70 @@ def test_toxicity_held_out(spark):
     pairs = held_out(out, labels, 5, 0)
     assert all(r.held_out and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r, _ in pairs)
     assert np.mean([r.predicted == y for r, y in pairs]) > 0.95
-    assert np.mean([r.predicted for r, y in pairs if y]) > 0.8
-
-
-def test_toxicity_calibrates_on_all_windows(spark):
+    assert np.mean([r.predicted for r, y in pairs if y]) > 0.7
+    assert np.mean([r.predicted for r, y in pairs if not y]) < 0.03
+
+
+def plain_saving(pairs, window):
+    """What the operator says of one window, with compressors of its own and no chunks."""
+    total = 0.0
+    for k, p in enumerate(pairs, 1):
+        lengths = []
+        for d in (p.ordinary, p.toxic):
+            params = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_BTOPT, window_log=20, hash_log=15, chain_log=17, search_log=4, min_match=3, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+            lengths.append(len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d), compression_params=params).compress(window)))
+        total += lengths[0] - lengths[1] - p.bias
+        if total < k:
+            return 0.0
+    return total / len(pairs)
+
+
+def test_toxicity_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
     rng = np.random.default_rng(5)
     ordinary, toxic = [f"w{i}" for i in range(400)], [f"vile{i}x" for i in range(12)]
     rows = []
     for i in range(400):
-        words = list(rng.choice(ordinary, int(rng.choice([60, 1500]))))
-        if i % 2:  # in one or two windows, which strides over long texts mostly miss
-            at = int(rng.integers(0, len(words) - 12))
-            words[at : at + 12] = list(rng.choice(toxic, 12))
+        words = list(rng.choice(ordinary, int(rng.choice([60, 900]))))
+        if i % 2:
+            for at in rng.integers(0, len(words) - 2, 4):
+                words[at] = rng.choice(toxic)
         rows.append((i, " ".join(words), i % 2))
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    rows += [(9000, None, 0), (9001, "", 1), (9002, rows[5][1], 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[7][:2]] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    plain = []
-    for i, text, label in rows:
-        if zlib.crc32(str(i).encode()) % 5:
-            part, found = zlib.crc32(f"part{i}".encode()) % 4, toxicity.windows(text)
-            plain.append((label, part, found if part == 3 else found[:: max(1, -(-len(found) // 64))]))
-    whole = toxicity.fit_rows(sorted(plain), totals=(sum(r[0] == 0 for r in plain), sum(r[0] == 1 for r in plain)))
-    assert whole.toxic and (model.toxic, model.ordinary, model.least_gain) == (whole.toxic, whole.ordinary, whole.least_gain)
-    assert np.allclose((*model.slopes, model.offset), (*whole.slopes, whole.offset), rtol=1e-6)
+    chosen, totals = toxicity.sampled(docs, labels, 4000)
+    chosen = chosen.collect()
+    assert totals[1] == sum(r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5) and len({r.key for r in chosen}) == len(chosen)
+    kept = set(toxicity.fresh(sorted((r.key, r.toxic, toxicity.sketch(r.text)) for r in chosen)))
+    chosen = [r for r in chosen if r.key in kept]
+    want = []
+    for k in range(toxicity.PAIRS):
+        both = [toxicity.trained([w for r in chosen if r.part != 3 and r.pair == k and r.toxic == t for w in toxicity.windows(r.text)]) for t in (0, 1)]
+        want += [tuple(both)] * all(both)
+    assert [(p.ordinary, p.toxic) for p in model.pairs] == want and len(want) == toxicity.PAIRS
+    assert sum(b"vile" in p.toxic for p in model.pairs) >= 6 and not any(b"vile" in p.ordinary for p in model.pairs)
+    out = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows[::13] + rows[-3:]:
+        words = (text or "").split()
+        got = [plain_saving(model.pairs, f" {' '.join(words[j : j + 4])} ".encode()) for j in range(0, len(words), 4)]
+        shares = [(sum(g >= s for g in got) / max(1, len(got))) ** 0.5 for s in (1, 1.5, 2, 2.5, 3, 4)]
+        x = [*shares, np.log1p(max(got, default=0)), np.log1p(sum(g for g in got if g >= toxicity.LEAST_GAINS[model.threshold]))]
+        assert abs(out[i] - 1 / (1 + np.exp(-(np.dot(x, model.slopes) + model.offset)))) < 1e-9
+    assert np.mean([(out[i] >= 0.5) == bool(t) for i, _, t in rows[:400]]) > 0.9
+
+
+def test_toxicity_bound_holds_under_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i} of many") for i in range(600)] + [(1, "same text")] * 200, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0)] * 5, "doc_id long, toxic int")
+    rows, _ = toxicity.sampled(docs, labels, 20)
+    assert all(r["count"] <= 20 for r in rows.groupBy("toxic").count().collect())
 
 
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (4, "a " * 20000), (4, "a " * 20000)], "doc_id bigint, text string")
-    empty = toxicity.fit_rows([])
+    empty = toxicity.Model((), 0, (), 0.0)
     out = toxicity.score(docs, empty).collect()
     assert len(out) == 5 and all(r.score == 0 and r.predicted == 0 for r in out)
     labels = spark.createDataFrame([(1, None, 1), (None, None, 0)], "doc_id bigint, quality int, toxic int")
