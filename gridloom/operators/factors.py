@@ -149,25 +149,27 @@ def session_bootstrap(by_session: DataFrame, replications: int, k: int, starts:
     The moments of all sessions (p^2 numbers each) go to every replication as one row.
     """
     whole = by_session.orderBy("session").agg(F.collect_list(F.struct("session", "n", "s", "g")).alias("m"))
-    grid = spark.range(replications).withColumnRenamed("id", "rep").join(F.broadcast(whole))
-
-    def fit(row: dict) -> list[dict]:
+    def rotated(row: dict, weights: Callable[[int], np.ndarray], seed: int) -> np.ndarray:
         m = sorted(row["m"], key=lambda x: x["session"])
         n = np.array([x["n"] for x in m], float)
         s = np.array([list(x["s"]) for x in m], float)
         g = np.array([[list(r) for r in x["g"]] for x in m], float)
+        w = weights(len(n))
+        cov = linalg.from_moments(w @ n, w @ s, np.tensordot(w, g, 1))[1]
+        return rotation.rotate(*linalg.principal(linalg.to_correlation(cov)), k, starts, seed)["loadings"]
 
-        def rotated(weights: np.ndarray, seed: int) -> dict:
-            cov = linalg.from_moments(weights @ n, weights @ s, np.tensordot(weights, g, 1))[1]
-            return rotation.rotate(*linalg.principal(linalg.to_correlation(cov)), k, starts, seed)
+    # The rotation of all sessions, once for all replications: p * k numbers.
+    first = fit_rows(whole, lambda row: [{"loadings": rotated(row, np.ones, seed).tolist()}], "loadings array<array<double>>").collect()
+    base = np.array([list(r) for row in first for r in row["loadings"]], float)
+    grid = spark.range(replications).withColumnRenamed("id", "rep").join(F.broadcast(whole))
 
-        base = rotated(np.ones(len(n)), seed)
-        draw = np.random.default_rng(seed + int(row["rep"]) + 1).integers(0, len(n), len(n))
-        got = rotated(np.bincount(draw, minlength=len(n)).astype(float), seed + int(row["rep"]) + 1)
-        order, signs, cosine = linalg.aligned(base["loadings"], got["loadings"])
-        turned = got["loadings"][:, order] * signs
+    def fit(row: dict) -> list[dict]:
+        own = seed + int(row["rep"]) + 1
+        got = rotated(row, lambda n: np.bincount(np.random.default_rng(own).integers(0, n, n), minlength=n).astype(float), own)
+        order, signs, cosine = linalg.aligned(base, got)
+        turned = got[:, order] * signs
         h, critical = linalg.local_threshold(len(turned))
-        return [{"rep": int(row["rep"]), "factor": f"LF{j + 1}", "cosine": cosine[j], "jaccard": linalg.jaccard(np.abs(base["loadings"][:, j]) >= h, np.abs(turned[:, j]) >= h), "local": bool((np.abs(turned[:, j]) < h).sum() > critical)} for j in range(k)]
+        return [{"rep": int(row["rep"]), "factor": f"LF{j + 1}", "cosine": cosine[j], "jaccard": linalg.jaccard(np.abs(base[:, j]) >= h, np.abs(turned[:, j]) >= h), "local": bool((np.abs(turned[:, j]) < h).sum() > critical)} for j in range(k)]
 
     return fit_rows(grid, fit, "rep int, factor string, cosine double, jaccard double, local boolean")
 
@@ -287,13 +289,13 @@ def kalman(panel: DataFrame, windows: DataFrame, members: list[str], k: int, tra
         w, v = linalg.principal(np.corrcoef(xa, rowvar=False))
         h = np.sqrt(p) * v[:, :k]
         turned = rotation.rotate(w, v, k, starts, window_seed(917, key[0]))["loadings"]
-        par = state_space.parameters(xa, h)
-        fa = state_space.run(xa, h, par, par["mean"], par["cov"], False)
-        fb = state_space.run(xb, h, par, fa["filt"][-1], fa["filt_cov"][-1], True)
-        smooth, _ = state_space.smooth(fa, par["a"])
+        model = state_space.Dynamics.learned(xa, h)
+        fa = model.filtered(xa)
+        fb = model.filtered(xb, fa)
+        smooth, _ = model.smoothed(fa)
         static = lambda x: x @ turned @ np.linalg.pinv(turned)
         mse = lambda x, y: float(((x - y) ** 2).mean())
-        rmse, standardized, condition = state_space.innovation_summary(fb)
-        return pd.DataFrame([{"window_no": int(key[0]), "n_train": len(a), "n_holdout": len(b), "static_train_mse": mse(xa, static(xa)), "smoothed_train_mse": mse(xa, smooth @ h.T), "static_mse": mse(xb, static(xb)), "filtered_mse": mse(xb, fb["filt"] @ h.T), "one_step_mse": mse(xb, fb["pred"] @ h.T), "innovation_rmse": rmse, "standardized_rms": standardized, "worst_condition": condition}])
+        rmse, standardized, condition = model.surprise(xb, fb)
+        return pd.DataFrame([{"window_no": int(key[0]), "n_train": len(a), "n_holdout": len(b), "static_train_mse": mse(xa, static(xa)), "smoothed_train_mse": mse(xa, smooth @ h.T), "static_mse": mse(xb, static(xb)), "filtered_mse": mse(xb, fb.after @ h.T), "one_step_mse": mse(xb, fb.before @ h.T), "innovation_rmse": rmse, "standardized_rms": standardized, "worst_condition": condition}])
 
     return dealt(inside, "window_no").groupBy("window_no").applyInPandas(run, "window_no bigint, n_train int, n_holdout int, static_train_mse double, smoothed_train_mse double, static_mse double, filtered_mse double, one_step_mse double, innovation_rmse double, standardized_rms double, worst_condition double")

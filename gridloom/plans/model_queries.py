@@ -77,7 +77,7 @@ def local_factor_test(spark, sf):
 @query("session_bootstrap")
 def session_bootstrap(spark, sf):
     months = wide(spark, sf).join(days(spark, sf), "session_no").withColumn("session", F.date_format("day", "yyyy-MM"))
-    return factors.session_bootstrap(moments.gram(months, ["session"], MEMBERS), 40, 3, 100, 916, spark)
+    return factors.session_bootstrap(moments.gram(months, ["session"], MEMBERS), 100, 3, 100, 916, spark)
 
 
 @query("rolling_pca")

@@ -20,9 +20,11 @@ class Tables(str):
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
+    """spark.checkpoint.dir; one of our own only where that is unset and driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-panels-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,7 +32,7 @@ def folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write and read back: the plan behind it runs once, whatever is built on it, and outlives executors."""
-    path = f"{folder(df.sparkSession)}/gridloom/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/gridloom/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

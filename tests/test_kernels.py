@@ -102,15 +102,45 @@ def test_filter_beats_static_on_a_persistent_state():
     for t in range(1, 300):
         f[t] = 0.95 * f[t - 1] + 0.2 * rng.normal(size=2)
     y = f @ h.T + rng.normal(size=(300, 6))
-    par = state_space.parameters(y, h)
-    assert np.abs(np.linalg.eigvals(par["a"])).max() <= 0.98 + 1e-9
-    got = state_space.run(y, h, par, par["mean"], par["cov"], False)
-    smooth, cov = state_space.smooth(got, par["a"])
+    model = state_space.Dynamics.learned(y, h)
+    assert np.abs(np.linalg.eigvals(model.step)).max() <= 0.98 + 1e-9
+    track = model.filtered(y)
+    smooth, cov = model.smoothed(track)
     mse = lambda s: ((s - f) ** 2).mean()
-    assert mse(smooth) < mse(got["filt"]) < mse(y @ h / 6)
+    assert mse(smooth) < mse(track.after) < mse(y @ h / 6)
     assert all(np.linalg.eigvalsh(c).min() > 0 for c in cov)
 
 
+def test_filter_and_smoother_are_conditional_means():
+    """Against the joint normal distribution of all states and rows."""
+    rng = np.random.default_rng(8)
+    n, p, k = 7, 4, 2
+    h = rng.normal(size=(p, k))
+    model = state_space.Dynamics.learned(rng.normal(size=(40, p)), h)
+    y = rng.normal(size=(n, p))
+    mean, covs = [model.mean], np.zeros((n, n, k, k))
+    covs[0, 0] = model.cov
+    for t in range(1, n):
+        mean.append(model.step @ mean[-1])
+        covs[t, t] = model.step @ covs[t - 1, t - 1] @ model.step.T + model.shock
+        for s in range(t):
+            covs[t, s] = model.step @ covs[t - 1, s]
+            covs[s, t] = covs[t, s].T
+    m, c = np.concatenate(mean), covs.transpose(0, 2, 1, 3).reshape(n * k, n * k)
+    big, noise = np.kron(np.eye(n), h), np.kron(np.eye(n), np.diag(model.noise))
+    track = model.filtered(y)
+    for seen in (3, n):
+        b, r = big[: seen * p], noise[: seen * p, : seen * p]
+        gain = c @ b.T @ np.linalg.inv(b @ c @ b.T + r)
+        given, left = m + gain @ (y[:seen].ravel() - b @ m), c - gain @ b @ c
+        last = slice((seen - 1) * k, seen * k)
+        assert np.allclose(track.after[seen - 1], given[last]) and np.allclose(track.after_cov[seen - 1], left[last, last])
+    smooth, spread = model.smoothed(track)
+    assert np.allclose(smooth.ravel(), given) and np.allclose(spread[2], left[2 * k : 3 * k, 2 * k : 3 * k])
+    split = model.filtered(y[3:], model.filtered(y[:3]))
+    assert np.allclose(split.after, track.after[3:]) and np.allclose(split.before_cov, track.before_cov[3:])
+
+
 def sample(n=240):
     rng = np.random.default_rng(7)
     own, cross = rng.normal(size=(n, 3)), rng.normal(size=(n, 9))
