@@ -20,25 +20,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; nothing is there yet."""
-    return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    """A new path below this application's part of the shared folder; nothing is there yet."""
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def discard(spark: SparkSession) -> None:
-    """Delete the tables that finished jobs have left in the shared folder; nothing may still read them."""
+    """Delete the tables that this application's finished jobs have left in the shared folder; nothing may still read them."""
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridloom")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -49,6 +56,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    """DDL of some of a frame's columns."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """`kernel` over each Arrow batch of `df`; batches are bounded by spark.sql.execution.arrow.maxRecordsPerBatch and by bytes."""
 

@@ -12,23 +12,41 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import settle
 
 
+HUB, HUB_SALTS, BROADCAST_HUBS = 256, 64, 100_000
+
+
+def with_least(links: DataFrame, own: bool) -> DataFrame:
+    """`links` (a, b) with m, the least b of each a, or a itself if `own` and smaller.
+
+    Links of an `a` of more than HUB links, a hub, are dealt over HUB_SALTS keys, so that no task joins all of a hub's.
+    """
+    least = settle(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    m = F.least("a", "m") if own else F.col("m")
+    hubs = least.filter(F.col("n") > HUB).select("a")
+    if hubs.count() > BROADCAST_HUBS:  # then hubs are a few of very many keys
+        salt = F.pmod(F.xxhash64("b"), F.lit(8)).cast("int")
+        every = least.select("a", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+        return links.withColumn("salt", salt).join(every, ["a", "salt"]).drop("salt")
+    marked = links.join(F.broadcast(hubs.withColumn("hub", F.lit(True))), "a", "left")
+    salted = marked.select("a", "b", F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).cast("int")).otherwise(0).alias("salt"))
+    salts = F.sequence(F.lit(0), F.when(F.col("n") > HUB, HUB_SALTS - 1).otherwise(0))
+    return salted.join(least.select("a", m.alias("m"), F.explode(salts).alias("salt")), ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of `edges` (a, b: bigint); root is the smallest node that it reaches.
 
     Alternating large-star and small-star steps: every step points the neighbours of a node at the
     smallest of them, by partial minima and joins, so a node of very many links is no large row
-    anywhere.  Each round's edges are a table in the shared folder.
+    anywhere, nor all of them one task's.  Each round's edges are a table in the shared folder.
     """
     same = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = same(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        now = settle(small, "edges")
+        large = settle(with_least(both, True).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        now = settle(with_least(large, False).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct(), "edges")
         new = same(now)
         if new == state:
             break

@@ -6,8 +6,8 @@ and brought to unit length.  The weights are learned by follow-the-regularised-l
 per-coordinate rates and elastic-net penalties, so most are exactly zero.  A temperature, fitted on
 sampled rows that the weights have not seen, calibrates the probabilities.
 
-Fitting uses about `per_language` labelled rows of each language, chosen by a hash of the id (a
-documented bound; all classifier statistics, idf included, belong to this sample).  Prediction
+Fitting uses at most `per_language` distinct labelled rows of each of at most `most_languages` languages, chosen by a
+hash (documented bounds; all classifier statistics, idf included, belong to this sample).  Prediction
 reads every whole text.
 
 Defined results: a text that is null or has no letter gives `und` with score 0; null labels and
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import crc_remainder, settle
@@ -29,7 +29,6 @@ from gridloom.llm.common import crc_remainder, settle
 BITS = 16
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
-BROADCAST_LANGUAGES = 10_000
 _letters: np.ndarray | None = None
 
 
@@ -170,14 +169,22 @@ def fit_rows(rows: list[tuple[str, bool, np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, idf, used, weights[used], bias, t)
 
 
-def fit(docs: DataFrame, per_language: int = 400) -> Model:
-    """Learn from labelled texts outside the held-out fold, about `per_language` of each language."""
-    allowed = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", 4) != 2))
-    share = settle(allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "languages")
-    if share.count() <= BROADCAST_LANGUAGES:  # else the rows are shuffled by language
-        share = F.broadcast(share)
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("of_lang") < F.lit(per_language * (1 << 30))
-    chosen = allowed.join(share, "lang").filter(pick).select("lang", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0).alias("held"), "text")
+def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 500) -> Model:
+    """Learn from labelled texts outside the held-out fold: `per_language` distinct (id, text) rows of each language at most.
+
+    Languages are the `most_languages` of the most distinct rows, ties by name: a language is a column of the weights, so
+    a label column that holds something else can't fill the driver.  A hash picks the rows; texts move only for those picked.
+    """
+    keyed = docs.select("doc_id", "lang", "text", F.xxhash64(F.lit("language"), "doc_id", "text").alias("pick"))
+    allowed = keyed.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_remainder("doc_id", 4) != 2))
+    sizes = settle(allowed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages").orderBy(F.desc("n"), "lang").limit(most_languages)
+    # About twice as many rows as are wanted of each language by their hashes, then exactly as many by rank.
+    share = (F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) * F.col("n") < F.lit((2 * per_language + 200) * (1 << 30))) | (F.col("n") <= 2 * per_language)
+    near = allowed.select("lang", "doc_id", "pick").join(F.broadcast(sizes), "lang").filter(share).groupBy("lang", "pick").agg(F.min("doc_id").alias("doc_id"))
+    ranked = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).filter(F.col("at") <= per_language)
+    chosen = settle(ranked.select("lang", "doc_id", "pick"), "language-rows")
+    texts = allowed.join(F.broadcast(chosen), ["lang", "doc_id", "pick"]).dropDuplicates(["lang", "pick"])
+    chosen = texts.select("lang", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0).alias("held"), "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle
+from gridloom.llm.common import schema_of, settle
 
 SPAN = 3
 
@@ -70,11 +70,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the text rewritten, and the columns n_lines and n_removed, which replace columns of those names."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     found = repeats(docs, id_col, text_col)
-    docs = docs.select(*kept).withColumn("line_key_of", F.xxhash64(text_col))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("line_doc")) & (F.col("line_key_of") == F.col("line_key")), "left").select(*kept, "starts")
-    at = kept.index(text_col)
+    # Columns go by numbers inside, so that no name of the user's meets one of ours.
+    numbered = docs.select(*(F.col(f"`{c}`") for c in kept)).toDF(*(f"c{i}" for i in range(len(kept))))
+    names = list(numbered.columns)
+    the_id, the_text, at = F.col(f"c{kept.index(id_col)}"), F.col(f"c{kept.index(text_col)}"), kept.index(text_col)
+    joined = numbered.join(found, the_id.eqNullSafe(F.col("line_doc")) & (F.xxhash64(the_text) == F.col("line_key")), "left").select(*numbered.columns, "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +89,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 removed.append(gone)
             columns = list(batch.columns[: len(kept)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*kept, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", n_lines bigint, n_removed bigint"
-    return joined.mapInArrow(run, schema)
+    schema = schema_of(numbered, numbered.columns) + ", n_lines bigint, n_removed bigint"
+    return joined.mapInArrow(run, schema).toDF(*kept, "n_lines", "n_removed")

@@ -14,8 +14,9 @@ Equal sets are one class from the start.  Classes that share a key meet in three
 makes the pairs of a group: every class is checked against the nearest of its keys' smallest members;
 links are contracted; then members of a key that are still apart are compared by signature, in
 blocks that hand on a spanning forest of the pairs within the distance; the trees of these forests
-are families, whose members are checked in blocks again, skipping what is joined by then.  Every
-check is exact, on the full sets.
+are families.  In families of more than a block, every member is checked against a leader of the family's largest
+component, `LED` times over; what still is apart is checked in blocks, skipping what is joined by then.  Every
+check is exact, on the full sets of 64-bit shingle hashes.
 
 Defined results: words are what is left of a lower-cased text (A-Z only) between ASCII white space;
 fewer than five words make one shingle, none makes an empty set, linked with nothing; repeated rows
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle
@@ -42,6 +43,7 @@ ERRORS = 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK, TEXT_BLOCK = 1024, 256
+LED, SALTS = 2, 16
 CACHE_MAX = 150_000
 #: Odd multipliers and offsets of the min-hashes.
 _rng = np.random.default_rng(8)
@@ -107,24 +109,29 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
+def row_hashes(id_col: str, text_col: str) -> list[Column]:
+    """h1 and h2: 128 bits that stand for a row's id and text."""
+    return [F.xxhash64(id_col, text_col).alias("h1"), F.xxhash64(F.lit("second"), id_col, text_col).alias("h2")]
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: doc, node (a hash of id and text), n, f1, f2 (a 128-bit fingerprint of its set), sig."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
+    """One row a document: doc, h1, h2 (hashes of id and text), n, f1, f2 (a 128-bit fingerprint of its set), sig."""
+    rows = docs.select(F.col(id_col).alias("doc"), *row_hashes(id_col, text_col), F.col(text_col).alias("text"))
     doc_type = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2, sig = [], [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingles(text.as_py())
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 f1.append((whole >> 64) - (1 << 63))
                 f2.append((whole & ((1 << 64) - 1)) - (1 << 63))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc", "node", "n", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc", "h1", "h2", "n", "f1", "f2", "sig"])
 
-    return rows.mapInArrow(run, f"doc {doc_type}, node bigint, n bigint, f1 bigint, f2 bigint, sig binary")
+    return rows.mapInArrow(run, f"doc {doc_type}, h1 bigint, h2 bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -210,15 +217,46 @@ def candidates(group: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield int(i), js
 
 
-def resolved(families: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of the same family (node, root: its family), enough to connect all that are linked.
+def unsettled(families: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root (its component) and n of the members of families (node, root: the family) that hold several components; key is the family."""
+    placed = families.select("node", F.col("root").alias("key")).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    more = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2").select("key", "n")
+    return placed.join(more, "key")
+
+
+def led(members: DataFrame, classes: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """Links (a, b) of `members` (key, node, root) to a leader of their family's largest component: linear in the members.
+
+    A leader's text goes to SALTS keys, over which a family's members are dealt.
+    """
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("x"))
+    top = parts.groupBy("key").agg(F.max(F.struct("m", "root", F.col("x.node").alias("b"))).alias("top")).select("key", F.col("top.root").alias("led"), F.col("top.b").alias("b"))
+    payload = classes.select("node", "n", "sig").join(texts, "node")
+    leaders = top.join(payload.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "b")
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = members.select("key", "node", "root", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")).join(payload, "node")
+    rows = own.join(leaders, ["key", "salt"]).filter("root <> led").filter(F.least("n", "n_b") * DENOMINATOR >= F.greatest("n", "n_b") * NUMERATOR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            for b, sa, sb, ta, tb in zip(batch.column("b").to_pylist(), *(batch.column(c) for c in ("sig", "sig_b", "text", "text_b"))):
+                near_ = (np.frombuffer(sa.as_py(), np.uint16) != np.frombuffer(sb.as_py(), np.uint16)).sum() <= DISTANCE
+                if near_ and b != last:
+                    last, held = b, shingles(tb.as_py())
+                keep.append(bool(near_) and similar(shingles(ta.as_py()), held))
+            yield batch.select(["node", "b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("node", "b", "sig", "sig_b", "text", "text_b").sortWithinPartitions("b").mapInArrow(run, "a bigint, b bigint")
+
+
+def resolved(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of the same family, enough to connect all that are linked; `members` as of `unsettled`.
 
     A family's members are compared in blocks; within a block, sets are checked exactly, and a pair
     that links found before have joined already is skipped.
     """
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = families.join(sizes, "root").select(F.col("root").alias("key"), "node", "n")
-    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = members.join(classes.select("node", F.col("n").alias("size"), "sig"), "node").join(texts, "node")
     dealt = in_blocks(members, "node", TEXT_BLOCK)
 
@@ -249,26 +287,38 @@ def resolved(families: DataFrame, roots: DataFrame, classes: DataFrame, texts: D
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: `id_col`, node, n_shingles, component_id (the smallest id reachable), keeper and kept.
+    """One row a document: `id_col`, n_shingles, component_id (the smallest id reachable), keeper, kept, h1 and h2 (`row_hashes`).
 
     kept: the id is the component's; keeper: the same for a row, also where ids are null or repeated.
     """
     rows = settle(sets(docs, id_col, text_col), "sets")
-    classes = settle(rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("node").alias("node"), F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "node")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    # A class is named by its place in the table written here: unlike a hash, no two are the same.
+    grouped = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "h1", "h2")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     shared = settle(buckets(classes), "buckets")
     stars = settle(near(shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), classes), "stars")
-    involved = shared.select("node").distinct()
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("node"), F.col(text_col).alias("text")).join(involved, "node", "left_semi").dropDuplicates(["node"])
+    involved = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "least.h1", "least.h2")
+    texts = docs.select(*row_hashes(id_col, text_col), F.col(text_col).alias("text")).join(involved, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
     texts = settle(texts, "texts")
     nearest = stars.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best")).select("a", "best.b")
     links = settle(checked(nearest, texts), "links")
     roots = components(links)
     families = components(apart(shared, roots, classes))
-    roots = components(links.unionByName(resolved(families, roots, classes, texts)))
+    open_ = settle(unsettled(families, roots), "members")
+    for turn in range(LED):
+        large = open_.filter(F.col("n") > TEXT_BLOCK)
+        if large.isEmpty():
+            break
+        links = links.unionByName(settle(led(large, classes, texts, turn), "links"))
+        roots = components(links)
+        open_ = settle(unsettled(families, roots), "members")
+    if not open_.isEmpty():
+        roots = components(links.unionByName(settle(resolved(open_, classes, texts), "links")))
     classes_in = classes.join(roots, "node", "left").select("f1", "f2", "least", F.coalesce("root", "node").alias("root"))
     first = classes_in.groupBy("root").agg(F.min("least").alias("first"))
-    found = classes_in.join(first, "root").select("f1", "f2", F.col("first.doc").alias("component_id"), F.col("first.node").alias("keep"))
-    whole = rows.select("doc", "node", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
+    found = classes_in.join(first, "root").select("f1", "f2", F.col("first.doc").alias("component_id"), F.col("first.h1").alias("k1"), F.col("first.h2").alias("k2"))
+    whole = rows.select("doc", "h1", "h2", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    keeper = (F.col("n") == 0) | (F.col("node") == F.col("keep"))
-    return whole.select(F.col("doc").alias(id_col), "node", F.col("n").alias("n_shingles"), component.alias("component_id"), keeper.alias("keeper")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    keeper = (F.col("n") == 0) | ((F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    out = whole.select("doc", F.col("n").alias("n_shingles"), component.alias("component_id"), keeper.alias("keeper"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"), "h1", "h2")
+    return out.withColumnRenamed("doc", id_col)

@@ -80,19 +80,27 @@ def with_source(rows: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(salted, same & (F.col("mix_row_salt") == F.col("mix_salt")), "left").drop("mix_of", "mix_source", "mix_salt", "mix_row_salt")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """`docs` with mix_size, mix_source_size, mix_target and mix_copies; columns of those names are replaced."""
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+OUTPUTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], ceiling: int) -> DataFrame:
+    """OUTPUTS beside the columns of `docs`, which are one struct, `doc`, so that their names meet no others."""
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    sized = docs.withColumns({"mix_size": size_of(text_col), "mix_source": F.col(source_col).cast("string"), "mix_draw": draw(key)})
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), size_of(text_col).alias("mix_size"), F.col(source_col).cast("string").alias("mix_source"), draw(key).alias("mix_draw"))
     sums = sized.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"))
     found = settle(targets(sums, weights, ceiling).select(F.col("source").alias("mix_of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix-targets")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (F.col("mix_draw") < rate - F.floor(rate)).cast("long")
-    return with_source(sized, found).withColumn("mix_copies", copies).drop("mix_draw")
+    return with_source(sized, found).select("doc", *OUTPUTS[:3], copies.alias("mix_copies"))
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """`docs` with mix_size, mix_source_size, mix_target and mix_copies; columns of those names are replaced."""
+    kept = [c for c in docs.columns if c.lower() not in OUTPUTS]
+    return planned(docs, id_col, text_col, source_col, weights, ceiling).select(*(F.col(f"doc.`{c}`") for c in kept), *OUTPUTS)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as many times as `plan` says, with the columns of `docs`."""
-    planned = plan(docs, **options).filter(F.col("mix_copies") > 0)
-    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """The mixed corpus: every document as many times as `plan` says, with the columns of `docs` as they are."""
+    taken = planned(docs, id_col, text_col, source_col, weights, ceiling).filter(F.col("mix_copies") > 0)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy")).select(*(F.col(f"doc.`{c}`") for c in docs.columns))

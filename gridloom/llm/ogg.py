@@ -8,7 +8,8 @@ run over pages.  Every page has its checksum, sequence number and granule positi
 Reading: pages are found by their capture pattern, their checksums verified, packets put together
 from the lacing values page after page and stream by stream, and each packet gets a time from its
 stream's granule position.  Nothing is assumed about the writer: any multiplexed Ogg stream reads,
-and what is damaged is counted, not raised.
+and what is damaged is counted, not raised: a PCM stream without a whole header has no samples, an index packet of another
+size disagrees.
 
 Defined results: a null text is the empty text; an empty payload is padded to one frame of spaces;
 equal texts give equal bytes, as serial numbers are fixed.
@@ -192,11 +193,12 @@ def read(data: bytes) -> Reading:
 
 
 def samples(got: Reading) -> tuple[bytes, int, list[tuple[float, int]]]:
-    """The PCM payload, its rate, and (end time in seconds, samples) of every packet, from the granule positions."""
+    """The PCM payload, its rate, and (end time in seconds, samples) of every packet, from the granule positions; nothing without a whole header."""
     stream = got.packets.get(PCM, [])
-    if not stream or not stream[0].data.startswith(b"PCM     "):
+    header = stream[0].data if stream else b""
+    rate = int.from_bytes(header[16:20], "big")
+    if not header.startswith(b"PCM     ") or len(header) < 20 or not rate:
         return b"", 0, []
-    rate = struct.unpack(">I", stream[0].data[16:20])[0]
     data = [p for p in stream[1:]]
     # A page's granule position holds for the last packet that ends on it; those before it end earlier by its samples.
     ends, after = [0] * len(data), None
@@ -210,6 +212,8 @@ def index_agrees(got: Reading, payload: bytes) -> bool:
     """Whether the second stream's numbers and sums are those of the payload."""
     at, values = 0, np.frombuffer(payload, np.uint8)
     for p in got.packets.get(INDEX, [])[1:]:
+        if len(p.data) != 16:
+            return False
         n, total = struct.unpack("<QQ", p.data)
         if int(values[at : at + n].sum(dtype=np.uint64)) != total or p.granule != at + n:
             return False
@@ -222,7 +226,7 @@ def features(media: bytes) -> tuple[bytes, str, bool]:
     got = read(media)
     payload, rate, times = samples(got)
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
-    sound = not (got.bad_checksums or got.lost_pages or got.torn_packets or got.skipped_bytes) and index_agrees(got, payload)
+    sound = not (got.bad_checksums or got.lost_pages or got.torn_packets or got.skipped_bytes) and index_agrees(got, payload) and (rate > 0 or PCM not in got.packets)
     total, squares = int(x.sum()), int((x * x).sum())
     steps = int(np.abs(np.diff(x)).sum()) if len(x) > 1 else 0
     crossings = int(np.count_nonzero(np.diff(x >= 128))) if len(x) > 1 else 0
@@ -254,16 +258,16 @@ def store(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFram
 
 
 def packets(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """One row for every packet of every media value: id, serial, packet_no, granule (null inside a page), data."""
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, serial bigint, packet_no bigint, granule bigint, data binary"
+    """One row for every packet of every media value: id, serial, packet_no, granule (null inside a page; its 64 bits read as signed, as Ogg's are), data."""
+    schema = f"key {df.schema[id_col].dataType.simpleString()}, serial bigint, packet_no bigint, granule bigint, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, media in zip(batch.column(0), batch.column(1)):
-                rows = [(key.as_py(), s, i, p.granule, p.data) for s, ps in sorted(read(media.as_py() or b"").packets.items()) for i, p in enumerate(ps)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.binary())], [id_col, "serial", "packet_no", "granule", "data"])
+                rows = [(key.as_py(), s, i, None if p.granule is None else p.granule - (p.granule >> 63 << 64), p.data) for s, ps in sorted(read(media.as_py() or b"").packets.items()) for i, p in enumerate(ps)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.binary())], ["key", "serial", "packet_no", "granule", "data"])
 
-    return df.select(id_col, media_col).mapInArrow(run, schema)
+    return df.select(id_col, media_col).mapInArrow(run, schema).toDF(id_col, "serial", "packet_no", "granule", "data")
 
 
 def load(df: DataFrame, media_col: str = "media") -> DataFrame:

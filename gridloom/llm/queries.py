@@ -82,7 +82,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return minhash.dedup(table(spark, sf_dir, "documents")).drop("node", "keeper")
+    return minhash.dedup(table(spark, sf_dir, "documents")).drop("h1", "h2", "keeper")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
