@@ -57,6 +57,7 @@ def marks(unit: np.ndarray) -> np.ndarray:
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors (rows) in double precision of vectors that are kept as `kind`."""
     x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of what is left neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -65,9 +66,7 @@ def usable(vector: list | None, kind: str) -> bytes | None:
     if not vector or any(v is None for v in vector):
         return None
     x = np.asarray(vector, np.float64)
-    with np.errstate(over="ignore"):
-        norm = np.linalg.norm(x)
-    return (x + 0.0).astype(kind).tobytes() if np.isfinite(norm) and norm > 0 else None
+    return (x + 0.0).astype(kind).tobytes() if np.isfinite(x).all() and x.any() else None
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -1,15 +1,17 @@
 """Personal data by bootstrapped contextual extraction (operator 6), in SQL functions only.
 
 Base entities (e-mail, IP address, card number, phone number) are found by patterns and are the
-seeds.  Every identifier-like token of a text is an instance too, known or unknown.  The words
-around an instance are its lexical patterns: two words to the left, one to the left and one to the right, one to the left.
+seeds.  Every word with a digit or an @ is an instance too, without the punctuation around it, and every run of digit
+groups between single spaces that has a loose shape, unless a base span overlaps it.  The words around an instance are its
+lexical patterns: two words to the left, one to the left and one to the right, one to the left; what stands before it in
+its own word counts as a word.
 Patterns and values form a graph.  A pattern's confidence in a kind is the sum of its values' scores
 over one more than their number; an unknown value's score for a kind whose loose shape it has is one
 minus the product of its patterns' doubts.  `ROUNDS` rounds pass scores along the distinct edges; then unknown
 values that confident patterns, each with at least `SUPPORT` seeds, hold to be of a kind become spans of that kind.
 
 Positions are code points.  A match's place follows from the lengths of the matches and gaps before
-it.  The patterns' repeats are possessive and guarded by a look behind where that changes no match, so they take
+it, so that time is linear in the text.  The patterns' repeats are possessive and guarded by a look behind where that changes no match, so they take
 linear time and no stack on very long texts.
 
 Defined results: a null text is the empty text; its row has no spans and the hash of the empty
@@ -45,47 +47,72 @@ PASSES = {
     "card": f"length({DIGITS}) between 13 and 19 and {LUHN}",
     "phone": f"length({DIGITS}) between 9 and 15",
 }
-#: An identifier-like token: a word with a digit or an @.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Two or more groups of digits with single spaces between: how cards and phones are written in parts.
+RUN = r"(?<!\S)\+?\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)++"
 #: The loose shapes that a context may turn into a kind.
 LOOSE = {
-    "email": "value like '%@%'",
+    "email": "value like '%_@_%'",
     "ip": r"value rlike r'^[0-9]+(?:\.[0-9]+){2,}$'",
     "card": r"value rlike r'^[0-9](?:[\x20-]?[0-9]){11,18}$'",
-    "phone": r"value rlike r'^\+?[0-9(](?:[().-]?[0-9]){6,14}$'",
+    "phone": r"value rlike r'^\+?[0-9(](?:[().\x20-]{0,2}[0-9]){6,14}$'",
 }
-NOTHING = "cast(array() as array<struct<s:bigint,e:bigint,v:string>>)"
-
-
-def placed(pattern: str, guard: str) -> str:
-    """SQL: the matches of `pattern` in text, as structs of start, end and value."""
-    parts = f"zip_with(regexp_extract_all(text, r'{pattern}', 0), split(text, r'{pattern}', -1), (x, y) -> named_struct('v', x, 'g', cast(length(y) as bigint), 'm', cast(length(x) as bigint)))"
-    step = "named_struct('at', a.at + x.g + coalesce(x.m, 0L), 'out', if(x.v is null, a.out, array_append(a.out, named_struct('s', a.at + x.g, 'e', a.at + x.g + x.m, 'v', x.v))))"
-    return f"if({guard}, aggregate({parts}, named_struct('at', 0L, 'out', {NOTHING}), (a, x) -> {step}, a -> a.out), {NOTHING})"
+CHUNK = 64
+NOTHING = "cast(array() as array<struct<s:bigint,e:bigint,v:string,wi:int,we:int>>)"
+PART = "cast(array() as array<struct<v:string,g:bigint,m:bigint,c:int,d:int>>)"
+
+
+def placed(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """`rows` (with text) and, for each name of `patterns` (pattern, guard), its matches: start, end, value, first and last word (by white space before).
+
+    Places are running sums over the gaps and matches before, summed CHUNK at a time, so that no array
+    is rebuilt for every match: linear in the text up to millions of matches.
+    """
+    kept = rows.columns
+    parts = lambda p: f"zip_with(regexp_extract_all(text, r'{p}', 0), split(text, r'{p}', -1), (x, y) -> named_struct('v', x, 'g', cast(length(y) as bigint), 'm', cast(coalesce(length(x), 0) as bigint), 'c', regexp_count(y, r'\\s+'), 'd', coalesce(regexp_count(x, r'\\s+'), 0)))"
+    rows = rows.select(*kept, *(F.expr(f"if({guard}, {parts(p)}, {PART})").alias(f"p_{k}") for k, (p, guard) in patterns.items()))
+    chunks = lambda k: f"if(size(p_{k}) = 0, array({PART}), transform(sequence(0, (size(p_{k}) - 1) div {CHUNK}), i -> slice(p_{k}, cast(i as int) * {CHUNK} + 1, {CHUNK})))"
+    rows = rows.select(*kept, *(F.expr(chunks(k)).alias(f"c_{k}") for k in patterns))
+    sums = "aggregate(c, 0L, (t, x) -> t + x.g + x.m)", "aggregate(c, 0, (t, x) -> t + x.c + x.d)"
+    starts = lambda k: f"aggregate(c_{k}, named_struct('at', 0L, 'w', 0, 'out', cast(array() as array<struct<at:bigint,w:int>>)), (a, c) -> named_struct('at', a.at + {sums[0]}, 'w', a.w + {sums[1]}, 'out', array_append(a.out, named_struct('at', a.at, 'w', a.w))), a -> a.out)"
+    rows = rows.select(*kept, *(f"c_{k}" for k in patterns), *(F.expr(starts(k)).alias(f"s_{k}") for k in patterns))
+    step = "named_struct('at', a.at + x.g + x.m, 'w', a.w + x.c + x.d, 'out', if(x.v is null, a.out, array_append(a.out, named_struct('s', a.at + x.g, 'e', a.at + x.g + x.m, 'v', x.v, 'wi', a.w + x.c, 'we', a.w + x.c + x.d))))"
+    done = lambda k: f"flatten(zip_with(c_{k}, s_{k}, (c, z) -> aggregate(c, named_struct('at', z.at, 'w', z.w, 'out', {NOTHING}), (a, x) -> {step}, a -> a.out)))"
+    return rows.select(*kept, *(F.expr(done(k)).alias(k) for k in patterns))
 
 
 def word(found: str) -> str:
-    return rf"lower(regexp_replace({found}, r'[^\p{{L}}\p{{N}}=:]', ''))"
+    return rf"lower(regexp_replace(coalesce({found}, ''), r'[^\p{{L}}\p{{N}}=:]', ''))"
 
 
 def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, node, base (spans with kind) and instances (with kind or null, value and contexts) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = ", ".join(f"transform(filter({placed(PATTERNS[k], GUARDS[k])}, x -> {PASSES[k]}), x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS))
-    rows = rows.select("doc", "node", "text", F.expr(f"concat({base})").alias("base"), F.expr(placed(TOKEN, "text rlike r'[0-9@]'")).alias("tokens"))
-    # A token without the punctuation around it; those that no base span overlaps are unknown.
-    cores = "transform(tokens, x -> named_struct('k', cast(null as int), 's', x.s + length(regexp_extract(x.v, r'^[^A-Za-z0-9+@]*', 0)), 'e', x.s + length(regexp_extract(x.v, r'^[^A-Za-z0-9+@]*', 0)) + length(regexp_replace(x.v, r'^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$', '')), 'v', regexp_replace(x.v, r'^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$', '')))"
-    rows = rows.select("doc", "node", "text", "base", F.expr(cores).alias("cores"))
-    unknown = "filter(cores, t -> length(t.v) > 3 and not exists(base, b -> b.s < t.e and t.s < b.e))"
-    rows = rows.select("doc", "node", "text", "base", F.expr(f"concat(base, {unknown})").alias("all"))
-    around = "transform(all, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v, 'l', substring(text, cast(greatest(x.s - 64, 0L) + 1 as int), cast(least(x.s, 64L) as int)), 'r', substring(text, cast(x.e + 1 as int), 64)))"
-    return rows.select("doc", "node", F.expr("transform(base, b -> named_struct('k', b.k, 's', b.s, 'e', b.e))").alias("base"), F.expr(around).alias("instances"))
+    """doc, base (spans with kind) and instances (with kind or null, place, value and the words around) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    some = "text rlike r'[0-9@]'"
+    rows = placed(rows, {k: (PATTERNS[k], GUARDS[k]) for k in KINDS} | {"run": (RUN, r"text rlike r'[0-9]\x20\(?[0-9]|\)\x20\(?[0-9]|[.-]\x20\(?[0-9]'"), "gap": (r"\s+", some)})
+    base = ", ".join(f"transform(filter({k}, x -> {PASSES[k]}), x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v, 'wi', x.wi, 'we', x.we))" for i, k in enumerate(KINDS))
+    rows = rows.select("doc", F.expr(f"concat({base})").alias("base"), "run", F.expr(rf"if({some}, split(text, r'\s+', -1), cast(array() as array<string>))").alias("words"), F.expr("concat(array(0L), transform(gap, x -> x.e))").alias("starts"))
+    # A word without the punctuation around it, and a run of digit groups without what follows its last digit.
+    lead, core = "length(regexp_extract(x.v, r'^[^A-Za-z0-9+@]*', 0))", "regexp_replace(x.v, r'^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$', '')"
+    tokens = f"transform(filter(transform(words, (v, i) -> named_struct('v', v, 'i', i)), x -> x.v rlike r'[0-9@]'), x -> named_struct('k', cast(null as int), 's', starts[x.i] + {lead}, 'e', starts[x.i] + {lead} + length({core}), 'v', {core}, 'wi', x.i, 'we', x.i))"
+    whole = "transform(run, x -> named_struct('k', cast(null as int), 's', x.s, 'e', x.s + length(regexp_replace(x.v, r'[^0-9]+$', '')), 'v', regexp_replace(x.v, r'[^0-9]+$', ''), 'wi', x.wi, 'we', x.we))"
+    shaped = " or ".join(LOOSE[k].replace("value", "x.v", 1) for k in ("card", "phone"))
+    rows = rows.select("doc", "base", "words", "starts", F.expr(f"concat(base, filter({tokens}, x -> x.v <> ''), filter({whole}, x -> {shaped}))").alias("all"))
+    around = "transform(all, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v, 'wi', x.wi, 'we', x.we, 'f', substring(words[x.wi], 1, cast(x.s - starts[x.wi] as int)), 'p', get(words, x.wi - 1), 'q', get(words, x.wi - 2), 'r', get(words, x.we + 1)))"
+    return rows.select("doc", F.expr("transform(base, b -> named_struct('k', b.k, 's', b.s, 'e', b.e))").alias("base"), F.expr(around).alias("instances"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """One row an instance and lexical pattern: node, s, e, kind (null: unknown), value, pattern."""
-    one = found.filter("size(instances) > 0").select("node", F.explode("instances").alias("x")).select("node", "x.s", "x.e", F.col("x.k").alias("kind"), F.lower("x.v").alias("value"), "x.l", "x.r")
-    words = one.selectExpr("node", "s", "e", "kind", "value", word(r"regexp_extract(l, r'(\S+)\s*$', 1)") + " as w1", word(r"regexp_extract(l, r'(\S+)\s+\S+\s*$', 1)") + " as w2", word(r"regexp_extract(r, r'^\S*\s+(\S+)', 1)") + " as r1")
+    """One row an instance and lexical pattern: node, s, e, kind (null: unknown), value, pattern.
+
+    Unknown instances that a base span overlaps are left out: both are joined by the words they stand in.
+    """
+    one = found.filter("size(instances) > 0").select("node", F.explode("instances").alias("x")).select("node", "x.*")
+    at = lambda which: one.filter(which).select("node", "s", "e", F.explode(F.sequence("wi", "we")).alias("w"))
+    taken = at("k is not null").withColumnsRenamed({"s": "bs", "e": "be"})
+    over = at("k is null").join(taken, ["node", "w"]).filter("bs < e and s < be").select("node", "s", "e").distinct()
+    left = one.filter("k is not null").unionByName(one.filter("k is null").join(over, ["node", "s", "e"], "left_anti"))
+    words = left.selectExpr("node", "s", "e", "k as kind", "lower(v) as value", f"{word('f')} as f", f"{word('p')} as p", f"{word('q')} as q", f"{word('r')} as r1")
+    words = words.selectExpr("node", "s", "e", "kind", "value", "if(f <> '', f, p) as w1", "if(f <> '', p, q) as w2", "r1")
     patterns = "filter(array(if(w1 <> '' and w2 <> '', concat('l2 ', w2, ' ', w1), null), if(w1 <> '' and r1 <> '', concat('lr ', w1, ' ', r1), null), if(w1 <> '', concat('l1 ', w1), null)), p -> p is not null)"
     return words.selectExpr("node", "s", "e", "kind", "value", f"explode({patterns}) as pattern")
 
@@ -113,7 +140,8 @@ def bootstrap(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: `id_col`, base and spans (arrays of kind number, start, end, by kind, then start)."""
-    found = settle(found_in(docs, id_col, text_col), "entities")
+    # A row is named by its place in the table written here.
+    found = settle(found_in(docs, id_col, text_col).withColumn("node", F.monotonically_increasing_id()), "entities")
     spots = settle(occurrences(found), "spots")
     confident, accepted = bootstrap(spots)
     new = spots.filter("kind is null").select("node", "s", "e", "value", "pattern").join(confident.select("pattern", "kind"), "pattern").join(accepted.select("value", "kind"), ["value", "kind"])

@@ -72,22 +72,30 @@ def brute_spans(rows):
 
     import regex
 
-    loose = [lambda v: "@" in v, lambda v: re.fullmatch(r"[0-9]+(\.[0-9]+){2,}", v), lambda v: re.fullmatch(r"[0-9]([ -]?[0-9]){11,18}", v), lambda v: re.fullmatch(r"\+?[0-9(]([().-]?[0-9]){6,14}", v)]
+    loose = [lambda v: "@" in v[1:-1], lambda v: re.fullmatch(r"[0-9]+(\.[0-9]+){2,}", v), lambda v: re.fullmatch(r"[0-9]([ -]?[0-9]){11,18}", v), lambda v: re.fullmatch(r"\+?[0-9(]([(). -]{0,2}[0-9]){6,14}", v)]
     spots, bases = [], {}
     for i, text in rows:
         base = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in plain(text).split(",") if s)]
         bases[i] = base
         found = [(k, a, b, text[a:b]) for k, a, b in base]
-        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", text):
+        unknown = []
+        for m in re.finditer(r"\S+", text):
             lead = len(re.match(r"[^A-Za-z0-9+@]*", m[0])[0])
             core = re.sub(r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "", m[0])
-            a, b = m.start() + lead, m.start() + lead + len(core)
-            if len(core) > 3 and not any(x < b and a < y for _, x, y in base):
-                found.append((None, a, b, core))
+            if re.search("[0-9@]", m[0]) and core:
+                unknown.append((m.start() + lead, core))
+        for m in re.finditer(r"(?<!\S)\+?\(?[0-9][0-9().-]*( \(?[0-9][0-9().-]*)+", text):
+            core = re.sub(r"[^0-9]+$", "", m[0])
+            if loose[2](core) or loose[3](core):
+                unknown.append((m.start(), core))
+        found += [(None, a, a + len(v), v) for a, v in unknown if not any(x < a + len(v) and a < y for _, x, y in base)]
         for k, a, b, v in found:
-            left, right = text[max(0, a - 64) : a], text[b : b + 64]
-            word = lambda m: regex.sub(r"[^\p{L}\p{N}=:]", "", m[1]).lower() if m else ""
-            w1, w2, r1 = word(re.search(r"(\S+)\s*$", left)), word(re.search(r"(\S+)\s+\S+\s*$", left)), word(re.match(r"\S*\s+(\S+)", right))
+            word = lambda w: regex.sub(r"[^\p{L}\p{N}=:]", "", w).lower()
+            own = re.search(r"\S*$", text[:a])[0]
+            before = [word(w) for w in text[: a - len(own)].split()[-2:]]
+            before = ["", "", *before, word(own)] if word(own) else ["", "", *before]
+            w1, w2 = before[-1], before[-2]
+            r1 = next(iter(map(word, re.sub(r"^\S*", "", text[b:]).split()[:1])), "")
             for p in ([f"l2 {w2} {w1}"] if w1 and w2 else []) + ([f"lr {w1} {r1}"] if w1 and r1 else []) + ([f"l1 {w1}"] if w1 else []):
                 spots.append((i, a, b, k, v.lower(), p))
     seed, members = {}, {}
@@ -118,9 +126,9 @@ def brute_spans(rows):
 
 def test_bootstrap_brute_force(spark):
     rnd = random.Random(11)
-    cues = [("write to", lambda: f"u{rnd.randrange(30)}@mail.example.com"), ("write to", lambda: f"u{rnd.randrange(9)}@localhost"), ("call me", lambda: f"+1 (20{rnd.randrange(9)}) 555-01{rnd.randrange(10, 99)}"), ("call me", lambda: f"55501{rnd.randrange(10, 30)}"), ("host is", lambda: f"10.0.{rnd.randrange(300)}.{rnd.randrange(9)}"), ("host is", lambda: f"10.{rnd.randrange(20)}.7"), ("see page", lambda: str(rnd.randrange(1000, 1020)))]
+    cues = [("write to", lambda: f"u{rnd.randrange(30)}@mail.example.com"), ("write to", lambda: f"u{rnd.randrange(9)}@localhost"), ("call me", lambda: f"+1 (20{rnd.randrange(9)}) 555-01{rnd.randrange(10, 99)}"), ("call me", lambda: f"55501{rnd.randrange(10, 16)}"), ("host is", lambda: f"10.0.{rnd.randrange(300)}.{rnd.randrange(9)}"), ("host is", lambda: f"10.{rnd.randrange(20)}.7"), ("call me", lambda: f"(20{rnd.randrange(3)}) 555 0{rnd.randrange(100, 103)}"), ("card no", lambda: "4111 1111 1111 1111"), ("card no", lambda: f"4{rnd.randrange(100, 400)}-1111 1111 1111"), ("card no", lambda: rnd.choice(["4012888888881881", "5105105105105100", "5555555555554444", "378282246310005"])), ("see page", lambda: str(rnd.randrange(1000, 1020)))]
     rows = []
-    for i in range(150):
+    for i in range(300):
         parts = []
         for _ in range(rnd.randrange(4)):
             cue, make = rnd.choice(cues)
@@ -129,4 +137,6 @@ def test_bootstrap_brute_force(spark):
     want = brute_spans(rows)
     out = {r.doc_id: r.spans for r in pii.report(pii.extract(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
     assert out == want
+    spaced = [(i, m.start()) for i, t in rows for m in re.finditer(r"\(20.\) 555 0", t)]
+    assert any(f"phone:{a}:" in out[i] for i, a in spaced)
     assert sum(len(w.split(",")) for w in want.values() if w) > sum(len(plain(t).split(",")) for _, t in rows if plain(t))
