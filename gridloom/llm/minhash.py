@@ -43,7 +43,7 @@ ERRORS = 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 NUMERATOR, DENOMINATOR = 75, 100
 BLOCK, TEXT_BLOCK = 1024, 256
-LED, SALTS = 2, 16
+LED, SALTS = 1, 16
 CACHE_MAX = 150_000
 #: Odd multipliers and offsets of the min-hashes.
 _rng = np.random.default_rng(8)
