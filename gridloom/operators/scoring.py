@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import linalg
+
 LOSSES = ("qlike", "log_mse", "log_mae")
 
 
@@ -73,6 +77,16 @@ def cumulative(dates: DataFrame) -> DataFrame:
     return dates.select("target_no", F.round(F.sum("x").over(w), 6).alias("cumulative"))
 
 
+def two_sided(z: str) -> Column:
+    """The two-sided normal p-value of column `z`, null where it is null; Arrow batches."""
+
+    def p(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for z in batches:
+            yield z.map(linalg.two_sided, na_action="ignore").astype("float64")
+
+    return F.pandas_udf(p, "double")(z)
+
+
 def hac(values: DataFrame, lags: list[int], by: list[str]) -> DataFrame:
     """Bartlett HAC test of a zero mean of x by group, in order of target_no: n, mean, se, z for every lag.
 

@@ -117,6 +117,12 @@ def stress(groups: DataFrame, group: str, first: int, last: int) -> DataFrame:
     return g.withColumn("difference", F.col("inside") - F.col("outside")).withColumn("stronger", F.coalesce(F.col("inside") > F.col("outside"), F.lit(False)))
 
 
+def importance(loadings: DataFrame, most: int) -> DataFrame:
+    """The `most` symbols of a factor with the largest mean absolute loading; ties by symbol."""
+    mean = loadings.groupBy("factor", "symbol").agg(F.avg(F.abs("loading")).alias("importance"))
+    return mean.withColumn("rank", F.row_number().over(Window.partitionBy("factor").orderBy(F.desc("importance"), "symbol"))).filter(F.col("rank") <= most)
+
+
 def methods(kalman: DataFrame) -> DataFrame:
     """Static, filtered and one-step reconstructions over all windows."""
     one = lambda name, c, train: kalman.agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("n_windows"), F.median(c).alias("median_holdout_mse"), F.avg(100 * (1 - F.col(train))).alias("mean_train_explained_pct"), F.max("worst_condition").alias("worst_condition"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import factors, har, issuance, moments, scoring, windows
-from gridloom.plans.panel_queries import BENCH, MEMBERS, STOCKS, daily, days, pairs, wide
+from gridloom.plans.ctes import PAIRS
+from gridloom.plans.panel_queries import BENCH, HAC, MEMBERS, STOCKS, daily, days, pairs, wide
 from gridloom.plans.registry import query
 from gridloom.sources import panels
 
@@ -146,17 +147,26 @@ def edge_bootstrap_noncircular(spark, sf):
     return issuance.sign_consistency(issuance.edge_bootstrap(rows, MEMBERS, 200, (5, 20), 15, False, None))
 
 
-@query("hac_p_values")
-def hac_p_values(spark, sf):
-    """Two-sided p-values of the HAC tests; erfc is a Python function, the tests are a handful of rows."""
-    from gridloom.functions.linalg import two_sided
+ERF = "2 / sqrt(pi()) * exp(-x * x) * x * list_sum(list_transform(range(0, 400), lambda k: exp(k * ln(2 * x * x) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+
 
+@query("hac_p_values", f"WITH {PAIRS}, {HAC} SELECT 'ALL' AS level, lag, n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 3) AS z, round(greatest(1 - {ERF}, 0), 8) AS p_value FROM (SELECT *, greatest(abs(mean / se) / sqrt(2), 1e-150) AS x FROM t WHERE n >= 2 AND se > 0)")
+def hac_p_values(spark, sf):
+    """Two-sided p-values of the HAC tests, by erfc in Arrow batches; SQL has them from the series of erf."""
     dates = scoring.by_date(pairs(spark, sf)).withColumn("level", F.lit("ALL"))
-    p = F.udf(lambda z: None if z is None else two_sided(z), "double")
-    return scoring.hac(dates, [5, 20], ["level"]).withColumn("p_value", p("z"))
+    tests = scoring.hac(dates, [5, 20], ["level"]).filter("se > 0").withColumn("p", scoring.two_sided("z"))
+    return tests.select("level", "lag", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("z", 3).alias("z"), F.round("p", 8).alias("p_value"))
+
+
+PRIORITY = """
+levels AS (SELECT o_orderdate::DATE AS day, o_orderpriority AS symbol, avg(o_totalprice) AS level FROM orders GROUP BY 1, 2),
+days AS (SELECT day, row_number() OVER (ORDER BY day) AS session_no FROM (SELECT DISTINCT day FROM levels)),
+names AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS symbol),
+panel AS (SELECT d.session_no, n.symbol, CASE WHEN l.level > 0 THEN ln(l.level) END AS y FROM days d CROSS JOIN names n LEFT JOIN levels l ON l.day = d.day AND l.symbol = n.symbol),
+framed AS (SELECT symbol, session_no, count(y) OVER (PARTITION BY symbol ORDER BY session_no ROWS 4 PRECEDING) = 5 AS w, count(y) OVER (PARTITION BY symbol ORDER BY session_no ROWS 21 PRECEDING) = 22 AS m FROM panel)"""
 
 
-@query("priority_panel_quality")
+@query("priority_panel_quality", f"WITH {PRIORITY} SELECT symbol, count(*) AS n, count(*) FILTER (w) AS n_w, count(*) FILTER (m) AS n_m FROM framed WHERE session_no >= 22 GROUP BY 1")
 def priority_panel_quality(spark, sf):
     """Strict 5- and 22-session means on the sparse priority panel: how many are null."""
     levels = panels.daily_priority(spark, sf)

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.linalg import two_sided
 from gridloom.operators import factors, har, issuance, moments, network, scoring, summaries, variance, windows
 from gridloom.plans import model_queries as models
+from gridloom.plans.ctes import LEDGER
 from gridloom.plans.panel_queries import MEMBERS, SORTED, daily, days, design, hourly_returns, intervals, scored
 from gridloom.plans.registry import query
 from gridloom.sources import panels
@@ -89,10 +89,7 @@ def stress_comparison(spark, sf):
 
 @query("loading_importance")
 def loading_importance(spark, sf):
-    from pyspark.sql import Window
-
-    mean = window_loadings(spark, sf).groupBy("factor", "symbol").agg(F.avg(F.abs("loading")).alias("importance"))
-    return mean.withColumn("rank", F.row_number().over(Window.partitionBy("factor").orderBy(F.desc("importance"), "symbol"))).filter("rank <= 4")
+    return summaries.importance(window_loadings(spark, sf), 4)
 
 
 @query("method_comparison")
@@ -163,15 +160,15 @@ def factor_comparisons(spark, sf):
     rows = settle(scoring.score(ledger, outcomes, quality).select("symbol", "target_no", "target_day", "model", "comparison_eligible", *scoring.LOSSES), "scored")
     daily_differences = [scoring.by_date(scoring.paired(rows, a, b)).withColumn("pair", F.lit(f"{a} - {b}")) for a, b in PAIRS]
     tests = scoring.hac(reduce(DataFrame.unionByName, daily_differences), [5, 20], ["pair"])
-    p = F.udf(lambda z: None if z is None else two_sided(z), "double")
-    return scoring.holm(tests.withColumn("p_value", p("z")).withColumn("id", F.col("pair")), "lag", "p_value").drop("id")
+    return scoring.holm(tests.withColumn("p_value", scoring.two_sided("z")).withColumn("id", F.col("pair")), "lag", "p_value").drop("id")
+
+
+MEANS = "count(*) AS n, round(avg(qlike), 6) AS qlike, round(avg(log_mse), 6) AS log_mse, round(avg(log_mae), 6) AS log_mae, round(median(qlike), 6) AS median_qlike, min(target_no) AS first_target, max(target_no) AS last_target"
 
 
-@query("stress_availability")
+@query("stress_availability", f"WITH {LEDGER}, periods AS (SELECT * FROM (VALUES ('spring_1997', DATE '1997-03-01', DATE '1997-05-31'), ('never', DATE '1950-01-01', DATE '1950-02-01')) p(period, a, b)), found AS (SELECT period, model, {MEANS} FROM scored JOIN periods ON target_day BETWEEN a AND b WHERE status = 'scored' GROUP BY 1, 2) SELECT p.period, f.* EXCLUDE (period), f.model IS NOT NULL AS available FROM periods p LEFT JOIN found f USING (period)")
 def stress_availability(spark, sf):
     """Two periods' summaries; a period without scored rows is one row that says so."""
     rows = scored(spark, sf)
     parts = [scoring.period(rows, name, first, last) for name, first, last in (("spring_1997", "1997-03-01", "1997-05-31"), ("never", "1950-01-01", "1950-02-01"))]
     return parts[0].unionByName(parts[1])
-
-

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ZSTD = {"compression": "zstd"}
+CSV = {"header": True, "escape": '"', "nullValue": "\\N"}
 
 
 def write_months(bars: DataFrame, path: str) -> None:
-    """Bars by month and symbol; only the partitions that the rows belong to are replaced."""
-    bars.withColumn("month", F.date_format("session", "yyyy-MM")).repartition("month", "symbol").write.options(**ZSTD, partitionOverwriteMode="dynamic").partitionBy("month", "symbol").mode("overwrite").parquet(path)
+    """Bars by month and symbol; only the partitions that the rows belong to are replaced.  Tasks take spans of time, so a large symbol is several files."""
+    bars.withColumn("month", F.date_format("session", "yyyy-MM")).repartitionByRange("month", "symbol", "session", "bar").write.options(**ZSTD, partitionOverwriteMode="dynamic").partitionBy("month", "symbol").mode("overwrite").parquet(path)
 
 
 def incomplete_months(spark: SparkSession, path: str, symbols: list[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def consolidated(spark: SparkSession, path: str) -> DataFrame:
     """All months, one row a (symbol, session, bar), sorted within files by time."""
     w = Window.partitionBy("symbol", "session", "bar").orderBy("month")
     one = spark.read.parquet(path).withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank", "month")
-    return one.repartition("symbol").sortWithinPartitions("session", "bar")
+    return one.repartitionByRange("symbol", "session", "bar").sortWithinPartitions("symbol", "session", "bar")
 
 
 def append_ledger(rows: DataFrame, path: str, run_id: str, spec: str) -> None:
@@ -58,12 +59,18 @@ def canonical(ledger: DataFrame, keys: list[str], values: list[str], order: str,
 FORBIDDEN = ("outcome", "qlike", "log_mse", "log_mae", "realized")
 
 
+def violation_rows(ledger: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """violation, n: what a forecast ledger must not have.  Missing or outcome columns, repeated keys, forecasts that aren't positive."""
+    named = [f"missing:{c}" for c in required if c not in ledger.columns] + [f"forbidden:{c}" for c in FORBIDDEN if c in ledger.columns]
+    columns = ledger.sparkSession.createDataFrame([(x, 1) for x in named], "violation string, n bigint")
+    repeated = ledger.groupBy(*keys).count().filter("count > 1").agg(F.lit("repeated_keys").alias("violation"), F.count(F.lit(1)).alias("n"))
+    odd = ledger.agg(F.lit("nonpositive_forecasts").alias("violation"), F.count_if(~(F.coalesce(F.col("forecast"), F.lit(0.0)) > 0)).alias("n"))
+    return columns.unionByName(repeated).unionByName(odd).filter("n > 0")
+
+
 def violations(ledger: DataFrame, keys: list[str], required: list[str]) -> dict[str, int]:
-    """What a forecast ledger must not have: missing or outcome columns, repeated keys, forecasts that aren't positive."""
-    found = {f"missing:{c}": 1 for c in required if c not in ledger.columns} | {f"forbidden:{c}": 1 for c in FORBIDDEN if c in ledger.columns}
-    repeated = ledger.groupBy(*keys).count().filter("count > 1").count()
-    odd = ledger.filter(~(F.coalesce(F.col("forecast"), F.lit(0.0)) > 0)).count()
-    return found | ({"repeated_keys": repeated} if repeated else {}) | ({"nonpositive_forecasts": odd} if odd else {})
+    """`violation_rows` by name; a handful of rows."""
+    return {r["violation"]: r["n"] for r in violation_rows(ledger, keys, required).collect()}
 
 
 def frame_hash(df: DataFrame) -> str:
@@ -97,11 +104,12 @@ def may_resume(old: dict, config: dict) -> bool:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files with headers, one a task; nulls are \\\\N, empty strings stay empty."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 def markdown(df: DataFrame, rows: int = 50, digits: int = 4, missing: str = "n/a") -> str:

@@ -286,3 +286,28 @@ def test_stream_issues_each_forecast_once(spark, tmp_path):
     assert got.agg(F.min("target_no"), F.max("target_no")).first() == (61, 84)
     batch = har.ledger(har.features(panel.filter("session_no <= 84"))).filter("origin_no between 60 and 82").select("symbol", "origin_no", "model", F.col("forecast").alias("f"))
     assert got.join(batch, ["symbol", "origin_no", "model"]).filter("abs(forecast - f) > 1e-9").count() == 0
+
+
+def test_csv_keeps_nulls_and_quotes(spark, tmp_path):
+    from gridloom.sources import ledgers
+
+    rows = [(1, "plain"), (2, None), (3, ""), (4, 'a "quoted", comma'), (5, "back\\slash")]
+    ledgers.write_csv(spark.createDataFrame(rows, "k bigint, v string"), f"{tmp_path}/c")
+    assert sorted(map(tuple, ledgers.read_csv(spark, f"{tmp_path}/c", "k bigint, v string").collect())) == rows
+
+
+def test_violation_rows_of_an_empty_ledger(spark):
+    from gridloom.sources import ledgers
+
+    none = spark.createDataFrame([], "k bigint, forecast double")
+    assert ledgers.violation_rows(none, ["k"], ["forecast"]).collect() == []
+    null = spark.createDataFrame([(1, None)], "k bigint, forecast double")
+    assert ledgers.violations(null, ["k"], ["forecast", "model"]) == {"missing:model": 1, "nonpositive_forecasts": 1}
+
+
+def test_p_values_by_batches(spark):
+    from gridloom.functions import linalg
+    from gridloom.operators import scoring
+
+    rows = spark.createDataFrame([(0, 0.0), (1, -1.96), (2, None), (3, 12.0)], "k int, z double")
+    assert [r["p"] for r in rows.withColumn("p", scoring.two_sided("z")).orderBy("k").collect()] == [1.0, linalg.two_sided(-1.96), None, linalg.two_sided(12.0)]
