@@ -104,7 +104,7 @@ def may_resume(old: dict, config: dict) -> bool:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers, one a task; nulls are \\\\N, empty strings stay empty."""
+    """A folder of CSV files with headers, one a task; nulls are \\N, empty strings stay empty."""
     df.write.mode("overwrite").options(**CSV).csv(path)
 
 
