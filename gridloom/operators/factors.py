@@ -174,26 +174,12 @@ def session_bootstrap(by_session: DataFrame, replications: int, k: int, starts:
     return fit_rows(grid, fit, "rep int, factor string, cosine double, jaccard double, local boolean")
 
 
-def rolling_components(by_window: DataFrame) -> DataFrame:
-    """Eigenvalues, effective dimension and first weights of every window and view."""
-
-    def fit(row: dict) -> list[dict]:
-        out = []
-        for view, method, skip in VIEWS:
-            w, v = linalg.principal(matrix_of(row, method, skip))
-            share = w / w.sum()
-            out.append({"window_no": int(row["window_no"]), "view": view, "method": method, "explained_1": 100 * share[0], "explained_3": 100 * share[:3].sum(), "effective_dimension": 1 / (share**2).sum(), "first": v[:, 0].tolist()})
-        return out
-
-    return fit_rows(by_window, fit, "window_no bigint, view string, method string, explained_1 double, explained_3 double, effective_dimension double, first array<double>")
-
-
 def window_seed(base: int, *parts) -> int:
     """A seed that depends on what is fitted and on nothing else."""
     return int.from_bytes(hashlib.sha256(":".join(map(str, (base, *parts))).encode()).digest()[:8], "little") % 2147483647
 
 
-def rolling_rotations(by_window: DataFrame, k: int, starts: int) -> DataFrame:
+def rolling_rotations(by_window: DataFrame, k: int, starts: int, spec: str = "w60") -> DataFrame:
     """Sparse loadings of the residual view in every window."""
 
     def fit(row: dict) -> list[dict]:
@@ -201,7 +187,7 @@ def rolling_rotations(by_window: DataFrame, k: int, starts: int) -> DataFrame:
         w, v = linalg.principal(r)
         got = rotation.rotate(w, v, k, starts, window_seed(916, row["window_no"]))
         condition = float(np.linalg.cond(got["loadings"]))
-        return [{"spec": "w60", "window_no": int(row["window_no"]), "loadings": got["loadings"].T.tolist(), "l1": list(map(float, got["l1"])), "sources": list(got["source"]), "condition": condition}]
+        return [{"spec": spec, "window_no": int(row["window_no"]), "loadings": got["loadings"].T.tolist(), "l1": list(map(float, got["l1"])), "sources": list(got["source"]), "condition": condition}]
 
     return fit_rows(by_window, fit, "spec string, window_no bigint, loadings array<array<double>>, l1 array<double>, sources array<string>, condition double")
 
@@ -296,6 +282,9 @@ def kalman(panel: DataFrame, windows: DataFrame, members: list[str], k: int, tra
         static = lambda x: x @ turned @ np.linalg.pinv(turned)
         mse = lambda x, y: float(((x - y) ** 2).mean())
         rmse, standardized, condition = model.surprise(xb, fb)
-        return pd.DataFrame([{"window_no": int(key[0]), "n_train": len(a), "n_holdout": len(b), "static_train_mse": mse(xa, static(xa)), "smoothed_train_mse": mse(xa, smooth @ h.T), "static_mse": mse(xb, static(xb)), "filtered_mse": mse(xb, fb.after @ h.T), "one_step_mse": mse(xb, fb.before @ h.T), "innovation_rmse": rmse, "standardized_rms": standardized, "worst_condition": condition}])
+        # The states of the rotated factors: what the rotated loadings need to say the same.
+        back = np.linalg.pinv(turned)
+        named, error = back @ h, float(np.abs(turned @ back - v[:, :k] @ v[:, :k].T).max())
+        return pd.DataFrame([{"window_no": int(key[0]), "n_train": len(a), "n_holdout": len(b), "static_train_mse": mse(xa, static(xa)), "smoothed_train_mse": mse(xa, smooth @ h.T), "static_mse": mse(xb, static(xb)), "filtered_mse": mse(xb, fb.after @ h.T), "one_step_mse": mse(xb, fb.before @ h.T), "innovation_rmse": rmse, "standardized_rms": standardized, "worst_condition": condition, "projector_error": error, "loadings": turned.T.tolist(), "state": (named @ fb.after[-1]).tolist(), "state_cov": (named @ fb.after_cov[-1] @ named.T).tolist()}])
 
-    return dealt(inside, "window_no").groupBy("window_no").applyInPandas(run, "window_no bigint, n_train int, n_holdout int, static_train_mse double, smoothed_train_mse double, static_mse double, filtered_mse double, one_step_mse double, innovation_rmse double, standardized_rms double, worst_condition double")
+    return dealt(inside, "window_no").groupBy("window_no").applyInPandas(run, "window_no bigint, n_train int, n_holdout int, static_train_mse double, smoothed_train_mse double, static_mse double, filtered_mse double, one_step_mse double, innovation_rmse double, standardized_rms double, worst_condition double, projector_error double, loadings array<array<double>>, state array<double>, state_cov array<array<double>>")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import lasso
 from gridloom.operators.har import HORIZONS, by_symbol, features
 from gridloom.operators.tasks import dealt
+from gridloom.sources import ledgers
 
 TERMS = ("d", "w", "m")
 LEAST = 60
@@ -52,16 +53,19 @@ def factor_terms(series: DataFrame, days: DataFrame, names: list[str]) -> DataFr
     return wide.select("session_no", *(F.col(f"`{s}`.{t}").alias(f"{s}_{t}") for s in names for t in TERMS))
 
 
-def forecasts(rows: DataFrame, symbols: list[str], every: int, aggregate: list[str] = (), local: list[str] = ()) -> DataFrame:
+def forecasts(rows: DataFrame, symbols: list[str], every: int, aggregate: list[str] = (), local: list[str] = (), since: DataFrame | None = None) -> DataFrame:
     """Forecasts of every origin that has LEAST rows to train on.
 
     Models: persistence; own_har; network_1se and network_min (lasso on the other symbols' terms); and,
     where factor terms are given, aggregate_har and local_har (own and those terms) and hybrid_har
     (own and aggregate terms unpenalised, lasso on the others, tuned for itself).
+    since (symbol, from_block): blocks before a symbol's are left out.
     """
     last = rows.withColumn("last_block", F.max("block").over(Window.partitionBy("symbol")))
     # A block's group holds its own origins and every earlier row to train on.
     spread = last.withColumn("for_block", F.explode(F.sequence("block", "last_block"))).drop("last_block")
+    if since is not None:
+        spread = spread.join(since, "symbol", "left").filter(F.coalesce(F.col("for_block") >= F.col("from_block"), F.lit(True))).drop("from_block")
     at = {s: i for i, s in enumerate(symbols)}
 
     def run(key, part):
@@ -106,6 +110,36 @@ def forecasts(rows: DataFrame, symbols: list[str], every: int, aggregate: list[s
     return dealt(spread, "symbol", "for_block").groupBy("symbol", "for_block").applyInPandas(run, schema)
 
 
+def resumed(rows: DataFrame, symbols: list[str], every: int, path: str, aggregate: list[str] = (), local: list[str] = ()) -> DataFrame:
+    """The ledger of `forecasts` below `path`, with what it lacked of these rows appended.
+
+    A block is tuned at its first origin, from what was known then, so a ledger that stopped within a block goes
+    on with the same penalty; blocks before a symbol's last one are not fitted again.  A write is whole or absent, and
+    rows that are there are not written twice, so a call that failed is simply repeated.  A ledger of another
+    configuration, or one whose rows have changed up to its last origin (beyond 6 digits), raises ValueError.
+    """
+    spark = rows.sparkSession
+    config = {"symbols": list(symbols), "every": every, "aggregate": list(aggregate), "local": list(local), "least": LEAST, "terms": TERMS, "fractions": lasso.FRACTIONS, "folds": lasso.FOLDS}
+    state, ledger = f"{path}/state", f"{path}/ledger"
+    inputs = rows.select("symbol", "session_no", "target_no", F.round("response", 6).alias("response"), F.transform("terms", lambda x: F.round(x, 6)).alias("terms"), *(F.round(c, 6).alias(c) for c in (*aggregate, *local)))
+    since = None
+    if ledgers.exists(spark, state):
+        old = ledgers.read_json(spark, state)
+        if not ledgers.may_resume(old, config):
+            raise ValueError("the ledger was written under another configuration")
+        if ledgers.frame_hash(inputs.filter(F.col("session_no") <= old["through"])) != old["inputs"]:
+            raise ValueError("rows that the ledger was made of have changed")
+    if ledgers.exists(spark, f"{ledger}/_SUCCESS"):
+        since = spark.read.parquet(ledger).groupBy("symbol").agg(F.max("tuning_block").alias("from_block"))
+    new = forecasts(rows, symbols, every, aggregate, local, since)
+    if since is not None:
+        new = new.join(spark.read.parquet(ledger).select("symbol", "origin_no", "model"), ["symbol", "origin_no", "model"], "left_anti")
+    new.write.option("compression", "zstd").mode("append").parquet(ledger)
+    through = rows.agg(F.max("session_no")).first()[0]
+    ledgers.write_json(spark, {"config_hash": ledgers.config_hash(config), "through": through or 0, "inputs": ledgers.frame_hash(inputs)}, state)
+    return spark.read.parquet(ledger)
+
+
 def loss_bootstrap(dates: DataFrame, replications: int, length: int, seed: int, per_task: int = 100) -> DataFrame:
     """Circular moving-block bootstrap of the mean daily difference; one row for every `per_task` replications' draws.
 

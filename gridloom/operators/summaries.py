@@ -42,16 +42,10 @@ def global_shares(ledger: DataFrame) -> DataFrame:
     return sums.select("raw", F.explode(F.array(*(F.struct(F.lit(p[:-4]).alias("part"), F.col(p).alias("variance")) for p in parts))).alias("x")).select("x.part", "x.variance", (100 * F.col("x.variance") / F.col("raw")).alias("share_of_raw_pct"))
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def rolling_summary(rolling: DataFrame) -> DataFrame:
-    """Mean, least and largest explained share and effective dimension by view, and likeness to the window before."""
-    w = Window.partitionBy("view", "method").orderBy("window_no")
-    like = rolling.withColumn("before", F.lag("first").over(w)).withColumn("similarity", F.abs(dot(F.col("first"), F.col("before"))))
-    stats = [f(c).alias(f"{n}_{c}") for c in ("explained_1", "effective_dimension", "similarity") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
-    return like.groupBy("view", "method").agg(F.count(F.lit(1)).alias("n_windows"), *stats)
+    """Mean, least and largest explained share, effective dimension and likeness to the window before, by width, view and method."""
+    stats = [f(c).alias(f"{n}_{c}") for c in ("explained_1", "explained_first_3", "effective_dimension", "similarity") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return rolling.groupBy("width", "view", "method").agg(F.count(F.lit(1)).alias("n_windows"), F.count("explained_1").alias("n_fitted"), *stats)
 
 
 def sparse_rollup(path: DataFrame) -> DataFrame:
@@ -171,10 +165,10 @@ def vintages(moments: DataFrame, fits: DataFrame, assigned: DataFrame, stocks: l
     return fit_rows(j, fit, "session_no int, block_no bigint, control string, symbol string, rv double")
 
 
-def checkpoint_edges(rows: DataFrame, symbols: list[str], every: int = 60, least: int = 60) -> DataFrame:
-    """Cross terms chosen at every `every`-th origin and the last, from all rows before it: descriptive networks."""
+def checkpoint_edges(rows: DataFrame, symbols: list[str], every: int = 60, least: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cross terms chosen at every `every`-th origin and the last, from all rows before it: descriptive networks, one for each value of the text columns `by`."""
     numbered = rows.filter(F.col("response").isNotNull())
-    top = F.max("row_no").over(Window.partitionBy("symbol"))
+    top = F.max("row_no").over(Window.partitionBy(*by, "symbol"))
     last = numbered.withColumn("last", top)
     points = F.array_distinct(F.concat(F.when(F.col("last") >= every, F.sequence(F.lit(every), F.col("last"), F.lit(every))).otherwise(F.array().cast("array<int>")), F.array("last")))
     spread = last.withColumn("checkpoint", F.explode(points)).filter(F.col("row_no") <= F.col("checkpoint"))
@@ -184,7 +178,7 @@ def checkpoint_edges(rows: DataFrame, symbols: list[str], every: int = 60, least
     def run(key, part):
         import pandas as pd
 
-        symbol, checkpoint = key
+        *spec, symbol, checkpoint = key
         part = part.sort_values("session_no")
         terms, y = np.array(part["terms"].tolist(), float), part["response"].to_numpy(float)
         if len(y) < least:
@@ -193,6 +187,7 @@ def checkpoint_edges(rows: DataFrame, symbols: list[str], every: int = 60, least
         own, cross = terms[:, mine], np.delete(terms, mine, 1)
         fit = lasso.path(lasso.Sample.of(own, cross, y), [lasso.tune(own, cross, y)["one_se"]])[0]
         names = [(s, t) for s in symbols if s != symbol for t in terms_of]
-        return pd.DataFrame([{"checkpoint": int(checkpoint), "edge_id": f"{s}->{symbol}", "source": s, "target": symbol, "horizon": t, "coefficient": float(b), "selected": bool(b != 0)} for (s, t), b in zip(names, fit["cross"])])
+        return pd.DataFrame([dict(zip(by, spec)) | {"checkpoint": int(checkpoint), "edge_id": f"{s}->{symbol}", "source": s, "target": symbol, "horizon": t, "coefficient": float(b), "selected": bool(b != 0)} for (s, t), b in zip(names, fit["cross"])])
 
-    return dealt(spread, "symbol", "checkpoint").groupBy("symbol", "checkpoint").applyInPandas(run, "checkpoint int, edge_id string, source string, target string, horizon string, coefficient double, selected boolean")
+    schema = "".join(f"{c} string, " for c in by) + "checkpoint int, edge_id string, source string, target string, horizon string, coefficient double, selected boolean"
+    return dealt(spread, *by, "symbol", "checkpoint").groupBy(*by, "symbol", "checkpoint").applyInPandas(run, schema)

@@ -81,11 +81,6 @@ def session_bootstrap(spark, sf):
     return factors.session_bootstrap(moments.gram(months, ["session"], MEMBERS), 100, 3, 100, 916, spark)
 
 
-@query("rolling_pca")
-def rolling_pca(spark, sf):
-    return factors.rolling_components(by_window(spark, sf))
-
-
 @query("rolling_l1_stability")
 def rolling_l1_stability(spark, sf):
     return factors.stability(factors.rolling_rotations(by_window(spark, sf), 2, STARTS))
@@ -96,10 +91,10 @@ def kalman_windows(spark, sf):
     return factors.kalman(wide(spark, sf), windows.rolling(days(spark, sf), 60, 20), MEMBERS, 2, 48, STARTS)
 
 
-def causal(spark, sf):
+def causal(spark, sf, width=120):
     d = days(spark, sf)
-    w = windows.rolling(d, 120, 5)
-    fits = factors.causal_fits(by_window(spark, sf, 120, 5), MEMBERS, 1)
+    w = windows.rolling(d, width, 5)
+    fits = factors.causal_fits(by_window(spark, sf, width, 5), MEMBERS, 1)
     return factors.apply_causal(wide(spark, sf), windows.assignment(windows.score_blocks(w, d), d), fits, BENCH, STOCKS)
 
 

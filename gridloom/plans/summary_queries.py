@@ -28,11 +28,6 @@ def global_variance_shares(spark, sf):
     return summaries.global_shares(variance_ledger_components(spark, sf))
 
 
-@query("rolling_pca_summary")
-def rolling_pca_summary(spark, sf):
-    return summaries.rolling_summary(models.rolling_pca(spark, sf))
-
-
 @query("sparse_path_rollup")
 def sparse_path_rollup(spark, sf):
     return summaries.sparse_rollup(models.sparse_pca_path(spark, sf))

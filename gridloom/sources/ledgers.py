@@ -83,6 +83,12 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_json(spark: SparkSession, document: dict, path: str) -> None:
     """One JSON document, keys sorted, as a text table of one line a line."""
     lines = json.dumps(document, sort_keys=True, indent=2, default=str).split("\n")
