@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import released
+
 ARRAY_MAX = 96
 CACHE_MAX = 300_000
 NONE = 1 << 60
@@ -173,22 +175,30 @@ def loaded(path: str | None) -> WordBpe:
     return _loaded[path]
 
 
-def mapped(df: DataFrame, source: str, out: str, kind: str, keep: bool, work: Callable[[WordBpe], Callable], vocabulary: str | None) -> DataFrame:
-    """`df` with `out` made of the column `source`, which stays if `keep`.  A map over Arrow batches runs once, whatever is built on it."""
-    kept = [c for c in df.columns if c != out and (keep or c != source)]
+def mapped(df: DataFrame, source: str, outs: dict[str, str], keep: bool, work: Callable[[WordBpe], Callable], vocabulary: str | None) -> DataFrame:
+    """`df` with the columns `outs` (name: type) made of the column `source`, which stays if `keep`.
+
+    A map over Arrow batches runs once, whatever is built on it.  The words that a worker remembers are those of its task.
+    """
+    kept = [c for c in df.columns if c not in outs and (keep or c != source)]
     read = [*(c for c in kept if c != source), source]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema) + f", `{out}` {kind}"
-    types = {"binary": pa.binary(), "string": pa.string()}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), *(f"`{c}` {t}" for c, t in outs.items())])
+    types = [{"binary": pa.binary(), "string": pa.string()}[t] for t in outs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = work(loaded(vocabulary))
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):  # what is made of a batch is larger than the batch
-                part = batch.slice(start, 1024)
-                made = pa.array([one(x.as_py()) for x in part.column(len(read) - 1)], types[kind])
-                yield pa.RecordBatch.from_arrays([*(part.column(read.index(c)) for c in kept), made], [*kept, out])
+        bpe = loaded(vocabulary)
+        one = work(bpe)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):  # what is made of a batch is larger than the batch
+                    part = batch.slice(start, 1024)
+                    made = [one(x.as_py()) for x in part.column(len(read) - 1)]
+                    more = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(read.index(c)) for c in kept), *more], [*kept, *outs])
+        finally:
+            bpe.cache.clear()
 
-    return df.select(*read).mapInArrow(run, schema)
+    return df.select(*read).mapInArrow(released(run), schema)
 
 
 def encode(df: DataFrame, text_col: str = "text", vocabulary: str | None = None, out: str = "tokens", keep: bool = True) -> DataFrame:
@@ -197,9 +207,22 @@ def encode(df: DataFrame, text_col: str = "text", vocabulary: str | None = None,
     `vocabulary`: path of the file as the executors see it; None: the installed public one.
     `keep`: whether the texts stay.
     """
-    return mapped(df, text_col, out, "binary", keep, lambda bpe: bpe.encode, vocabulary)
+    return mapped(df, text_col, {out: "binary"}, keep, lambda bpe: lambda text: (bpe.encode(text),), vocabulary)
 
 
 def decode(df: DataFrame, tokens_col: str = "tokens", vocabulary: str | None = None, out: str = "decoded", keep: bool = True) -> DataFrame:
     """`df` with the column `out`: the text of the ids that `encode` packed; null ids give an empty text."""
-    return mapped(df, tokens_col, out, "string", keep, lambda bpe: lambda ids: bpe.decode(ids) if ids else "", vocabulary)
+    return mapped(df, tokens_col, {out: "string"}, keep, lambda bpe: lambda ids: (bpe.decode(ids) if ids else "",), vocabulary)
+
+
+def round_trip(df: DataFrame, text_col: str = "text", vocabulary: str | None = None, out: str = "tokens", decoded: str = "decoded", keep: bool = True) -> DataFrame:
+    """`df` with `encode`'s column and the text that `decode` makes of its packed ids, by one worker that holds one vocabulary."""
+
+    def work(bpe: WordBpe) -> Callable:
+        def both(text: str | None) -> tuple[bytes, str]:
+            ids = bpe.encode(text)
+            return ids, bpe.decode(ids) if ids else ""
+
+        return both
+
+    return mapped(df, text_col, {out: "binary", decoded: "string"}, keep, work, vocabulary)

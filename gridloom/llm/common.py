@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -71,6 +74,23 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, which hands freed memory back to the system when a task ends: workers live on, idle or in other stages."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc only
+                trim(0)
+
+    return inner
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's columns, for joins that must not multiply repeated rows."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])

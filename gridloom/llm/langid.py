@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_remainder, settle
+from gridloom.llm.common import crc_remainder, released, settle
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import schema_of, settle
+from gridloom.llm.common import released, schema_of, settle
 
 SPAN = 3
 
@@ -59,7 +59,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = [window_hashes(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.binary()))], ["line_doc", "line_key", "at", "hash"])
 
-    windows = keyed.mapInArrow(run, f"line_doc {id_type}, line_key bigint, at array<int>, hash array<binary>")
+    windows = keyed.mapInArrow(released(run), f"line_doc {id_type}, line_key bigint, at array<int>, hash array<binary>")
     windows = windows.select("line_doc", "line_key", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("line_doc", "line_key", "w.at", "w.hash")
     windows = settle(windows, "line-windows")
     place = F.struct("line_doc", "line_key", "at")
@@ -92,4 +92,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
     schema = schema_of(numbered, numbered.columns) + ", n_lines bigint, n_removed bigint"
-    return joined.mapInArrow(run, schema).toDF(*kept, "n_lines", "n_removed")
+    return joined.mapInArrow(released(run), schema).toDF(*kept, "n_lines", "n_removed")

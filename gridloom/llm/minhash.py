@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle
+from gridloom.llm.common import released, settle
 from gridloom.llm.graph import compare, components, forest, in_blocks
 
 SHINGLE = 5
@@ -131,7 +131,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc", "h1", "h2", "n", "f1", "f2", "sig"])
 
-    return rows.mapInArrow(run, f"doc {doc_type}, h1 bigint, h2 bigint, n bigint, f1 bigint, f2 bigint, sig binary")
+    return rows.mapInArrow(released(run), f"doc {doc_type}, h1 bigint, h2 bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def buckets(classes: DataFrame) -> DataFrame:
                 nodes = np.repeat(batch.column(0).to_numpy(), POSITIONS)
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(nodes)], ["key", "node"])
 
-    entered = classes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
+    entered = classes.select("node", "sig").mapInArrow(released(run), "key bigint, node bigint")
     shared = entered.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").drop("last")
     return entered.join(shared, "key")
 
@@ -163,7 +163,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
                 yield part.filter(keep)
 
-    return rows.mapInArrow(run, "a bigint, b bigint, distance int")
+    return rows.mapInArrow(released(run), "a bigint, b bigint, distance int")
 
 
 def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(similar(shingles(ta.as_py()), held))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def apart(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def led(members: DataFrame, classes: DataFrame, texts: DataFrame, turn: int) ->
                 keep.append(bool(near_) and similar(shingles(ta.as_py()), held))
             yield batch.select(["node", "b"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("node", "b", "sig", "sig_b", "text", "text_b").sortWithinPartitions("b").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "b", "sig", "sig_b", "text", "text_b").sortWithinPartitions("b").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def resolved(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
