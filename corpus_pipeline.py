@@ -58,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, tokens (packed little-endian unsigned 32-bit ids) and decoded_sha256, of the text that they decode to; a null text encodes to nothing and decodes to the empty text."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), keep=False))
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), keep=False)
     return coded.select("doc_id", "source", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), "tokens", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
