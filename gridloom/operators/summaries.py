@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import lasso, linalg
 from gridloom.operators.factors import covariance_of, fit_rows
-from gridloom.operators.tasks import dealt
+from gridloom.operators.tasks import sliced
 
 
 def component_ledger(moments: DataFrame, members: list[str], skip: int = 2) -> DataFrame:
@@ -165,29 +165,35 @@ def vintages(moments: DataFrame, fits: DataFrame, assigned: DataFrame, stocks: l
     return fit_rows(j, fit, "session_no int, block_no bigint, control string, symbol string, rv double")
 
 
-def checkpoint_edges(rows: DataFrame, symbols: list[str], every: int = 60, least: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
-    """Cross terms chosen at every `every`-th origin and the last, from all rows before it: descriptive networks, one for each value of the text columns `by`."""
-    numbered = rows.filter(F.col("response").isNotNull())
-    top = F.max("row_no").over(Window.partitionBy(*by, "symbol"))
-    last = numbered.withColumn("last", top)
-    points = F.array_distinct(F.concat(F.when(F.col("last") >= every, F.sequence(F.lit(every), F.col("last"), F.lit(every))).otherwise(F.array().cast("array<int>")), F.array("last")))
-    spread = last.withColumn("checkpoint", F.explode(points)).filter(F.col("row_no") <= F.col("checkpoint"))
+def checkpoint_edges(rows: DataFrame, symbols: list[str], every: int = 60, least: int = 60, by: tuple[str, ...] = (), networks: int = 1) -> DataFrame:
+    """Cross terms chosen at every `every`-th origin and the last, from all rows before it: descriptive networks, one for each value of the text columns `by`.
+
+    A target's rows are one history whose beginnings are the samples, so checkpoints don't copy rows. networks: about how many `by` tells apart.
+    """
+    spread = sliced(rows.filter(F.col("response").isNotNull()), *by, "symbol", groups=networks * len(symbols))
     at = {s: i for i, s in enumerate(symbols)}
     terms_of = ("D", "W", "M")
 
     def run(key, part):
         import pandas as pd
 
-        *spec, symbol, checkpoint = key
+        *spec, symbol, turn = key
         part = part.sort_values("session_no")
-        terms, y = np.array(part["terms"].tolist(), float), part["response"].to_numpy(float)
-        if len(y) < least:
+        row_no, top = part["row_no"].to_numpy(), int(part["row_no"].max())
+        points = np.array([*range(every, top, every), top])[turn :: part["slices"].iloc[0]]
+        ns = np.searchsorted(row_no, points, "right")
+        points, ns = points[ns >= least], ns[ns >= least]
+        if not len(ns):
             return pd.DataFrame([])
+        terms, y = np.stack(part["terms"].to_numpy()).astype(float), part["response"].to_numpy(float)
         mine = np.arange(3 * at[symbol], 3 * at[symbol] + 3)
-        own, cross = terms[:, mine], np.delete(terms, mine, 1)
-        fit = lasso.path(lasso.Sample.of(own, cross, y), [lasso.tune(own, cross, y)["one_se"]])[0]
-        names = [(s, t) for s in symbols if s != symbol for t in terms_of]
-        return pd.DataFrame([dict(zip(by, spec)) | {"checkpoint": int(checkpoint), "edge_id": f"{s}->{symbol}", "source": s, "target": symbol, "horizon": t, "coefficient": float(b), "selected": bool(b != 0)} for (s, t), b in zip(names, fit["cross"])])
+        history = lasso.History(terms[:, mine], np.delete(terms, mine, 1), y)
+        names, out = [(s, t) for s in symbols if s != symbol for t in terms_of], []
+        for i in range(0, len(ns), 128):
+            penalties = np.array([[t["one_se"]] for t in lasso.tune_all(history, ns[i : i + 128])])
+            fits = lasso.path_all(history.grams(ns[i : i + 128]), ns[i : i + 128], history.own, penalties)[:, 0, history.own :]
+            out += [dict(zip(by, spec)) | {"checkpoint": int(c), "edge_id": f"{s}->{symbol}", "source": s, "target": symbol, "horizon": t, "coefficient": float(b), "selected": bool(b != 0)} for c, fit in zip(points[i : i + 128], fits) for (s, t), b in zip(names, fit)]
+        return pd.DataFrame(out)
 
     schema = "".join(f"{c} string, " for c in by) + "checkpoint int, edge_id string, source string, target string, horizon string, coefficient double, selected boolean"
-    return dealt(spread, *by, "symbol", "checkpoint").groupBy(*by, "symbol", "checkpoint").applyInPandas(run, schema)
+    return spread.groupBy(*by, "symbol", "slice").applyInPandas(run, schema)

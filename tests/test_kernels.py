@@ -178,3 +178,27 @@ def test_block_draws():
 
 def test_tail_probabilities():
     assert abs(linalg.two_sided(1.959963984540054) - 0.05) < 1e-12 and linalg.two_sided(20) > 0
+
+
+def test_histories_equal_single_samples():
+    """Beginnings of one history, tuned and fitted as a stack, give what each sample gives alone."""
+    rng = np.random.default_rng(4)
+    terms = 10 + rng.normal(size=(500, 9))
+    terms[:, 8] = terms[:, 7] + 1e-3 * terms[:, 8]  # nearly collinear
+    own, cross = terms[:, :3], terms[:, 3:]
+    y = own @ [0.5, 0.2, 0.1] + 0.3 * cross[:, 0] - 0.2 * cross[:, 4] + 0.2 * rng.normal(size=500)
+    history, ns = lasso.History(own, cross, y), np.array([21, 64, 128, 199, 500])
+    for n, t in zip(ns, lasso.tune_all(history, ns)):
+        alone = lasso.tune(own[:n], cross[:n], y[:n])
+        assert t["status"] == alone["status"] and np.allclose([t["min"], t["one_se"]], [alone["min"], alone["one_se"]], rtol=1e-6, atol=1e-12)
+    ns = ns[1:]
+    alphas = np.array([0.3, 0.05, 0.01, 0.0]) * lasso.top_penalties(history.grams(ns), ns, 4)[:, None]
+    for n, a, fits in zip(ns, alphas, lasso.path_all(history.grams(ns), ns, 4, alphas)):
+        sample = lasso.Sample.of(own[:n], cross[:n], y[:n])
+        g, c, scale = sample.projected()
+        for alpha, fit, one in zip(a, fits, lasso.path(sample, list(a))):
+            b = fit[4:] * scale
+            slope = g @ b - c
+            worst = np.where(np.abs(b) > 1e-10, np.abs(slope + alpha * np.sign(b)), np.maximum(np.abs(slope) - alpha, 0)).max()
+            assert worst <= 1.1 * max(one["kkt"], 10 * lasso.TOLERANCE)
+            assert np.allclose(history.rows[:n, :-1] @ fit + history.base[-1], lasso.predict(one, own[:n], cross[:n]), atol=1e-3)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import har, issuance, rolling, windows
+from gridloom.functions import lasso
+from gridloom.operators import har, issuance, rolling, summaries, tasks, windows
 from gridloom.plans import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -136,3 +137,29 @@ def test_resumed_issuance_equals_an_uninterrupted_one(spark, tmp_path):
     with pytest.raises(ValueError, match="changed"):
         issuance.resumed(har_rows(spark, 120, seed=6), symbols, 20, path)
     assert issuance.resumed(har_rows(spark, 20), symbols, 20, f"{path}-empty").count() == 0
+
+
+def test_checkpoint_networks_from_one_history(spark):
+    """Checkpoints fitted along a history equal fits of each checkpoint's rows, and rows are copied no more where there are more checkpoints."""
+    symbols = ["a", "b"]
+    blocks = har_rows(spark, 120)
+    edges = {(r.target, r.checkpoint, r.source, r.horizon): r for r in summaries.checkpoint_edges(blocks, symbols, every=7, least=30).collect()}
+    rows = blocks.filter("response is not null").toPandas().sort_values("session_no")
+    seen = set()
+    for i, target in enumerate(symbols):
+        part = rows[rows["symbol"] == target]
+        for checkpoint in [*range(7, part["row_no"].max(), 7), part["row_no"].max()]:
+            p = part[part["row_no"] <= checkpoint]
+            if len(p) < 30:
+                continue
+            terms, y = np.array(p["terms"].tolist()), p["response"].to_numpy()
+            own, cross = terms[:, 3 * i : 3 * i + 3], np.delete(terms, np.s_[3 * i : 3 * i + 3], 1)
+            fit = lasso.path(lasso.Sample.of(own, cross, y), [lasso.tune(own, cross, y)["one_se"]])[0]
+            for t, b in zip("DWM", fit["cross"]):
+                got = edges[target, checkpoint, symbols[1 - i], t]
+                assert abs(got.coefficient - b) < 1e-4 and got.selected == bool(got.coefficient != 0)
+                seen.add((target, checkpoint, symbols[1 - i], t))
+    assert seen == set(edges)
+    copies = tasks.sliced(blocks, "symbol", groups=2)
+    n = copies.first()["slices"]
+    assert copies.count() == n * blocks.count() and copies.select("slice").distinct().count() == n
