@@ -108,7 +108,7 @@ def descriptive_networks(spark, sf):
         for control in CONTROLS:
             rows = issuance.blocks(har.features(series.withColumn("y", F.col(control))), STOCKS, har.RETUNE)
             parts.append(rows.withColumns({"control": F.lit(control), "factor_window": F.lit(str(width))}))
-    return summaries.checkpoint_edges(reduce(DataFrame.unionByName, parts), STOCKS, by=("control", "factor_window"))
+    return summaries.checkpoint_edges(reduce(DataFrame.unionByName, parts), STOCKS, by=("control", "factor_window"), networks=len(parts))
 
 
 @query("resumed_forecasts")
