@@ -1,7 +1,8 @@
 """Walk-forward forecasts with own, cross-stock and factor terms, and resampled inference.
 
-Work is grouped by (target, tuning block): each group has its own training sample, tuned once, and the
-origins it issues, so groups are independent and far more than targets.
+Work is grouped by (target, slice): a group holds the target's history once, takes every so many-th tuning block
+or checkpoint of it, and fits their samples, beginnings of that history, from sums of products along it.  A block is
+tuned once and fits depend on their sample alone, so groups are independent, as many as cores ask for.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import lasso
 from gridloom.operators.har import HORIZONS, by_symbol, features
-from gridloom.operators.tasks import dealt
+from gridloom.operators.tasks import dealt, sliced
 from gridloom.sources import ledgers
 
 TERMS = ("d", "w", "m")
 LEAST = 60
+# Tuning blocks whose origins are fitted as one stack.
+BLOCKS_AT_ONCE = 16
 # Edge bootstraps: the first checkpoint, which is also the least training rows, the step, and the coefficient that counts as selected.
 FIRST_CHECKPOINT, CHECKPOINT_STEP, SELECTED = 252, 126, 1e-8
 
@@ -61,53 +64,58 @@ def forecasts(rows: DataFrame, symbols: list[str], every: int, aggregate: list[s
     (own and aggregate terms unpenalised, lasso on the others, tuned for itself).
     since (symbol, from_block): blocks before a symbol's are left out.
     """
-    last = rows.withColumn("last_block", F.max("block").over(Window.partitionBy("symbol")))
-    # A block's group holds its own origins and every earlier row to train on.
-    spread = last.withColumn("for_block", F.explode(F.sequence("block", "last_block"))).drop("last_block")
-    if since is not None:
-        spread = spread.join(since, "symbol", "left").filter(F.coalesce(F.col("for_block") >= F.col("from_block"), F.lit(True))).drop("from_block")
-    at = {s: i for i, s in enumerate(symbols)}
+    at, resuming = {s: i for i, s in enumerate(symbols)}, since is not None
 
     def run(key, part):
         part = part.sort_values("session_no")
-        symbol, block = key
-        terms = np.array(part["terms"].tolist(), float)
-        mine = slice(3 * at[symbol], 3 * at[symbol] + 3)
-        own, cross = terms[:, mine], np.delete(terms, np.arange(terms.shape[1])[mine], 1)
-        more, near = (part[list(c)].to_numpy(float) for c in (aggregate, local))
-        y, sessions, targets = part["response"].to_numpy(float), part["session_no"].to_numpy(), part["target_no"].to_numpy()
-        ok, none = np.isfinite(y), np.zeros((len(part), 0))
-        with_aggregate, with_local = np.column_stack([own, more]), np.column_stack([own, near])
-        out, tuned = [], {}
-        for i in np.flatnonzero((part["block"] == block).to_numpy()):
-            a = np.flatnonzero(ok & (targets <= sessions[i]))
-            if len(a) < LEAST:
-                continue
-            if not tuned:  # once a block, at its first origin
-                tuned["network"] = lasso.tune(own[a], cross[a], y[a])
-                if aggregate:
-                    tuned["hybrid"] = lasso.tune(with_aggregate[a], cross[a], y[a])
-
-            def fitted(o: np.ndarray, c: np.ndarray, alphas: list[float]) -> list[dict]:
-                return lasso.path(lasso.Sample.of(o[a], c[a], y[a]), alphas)
-
-            pair = fitted(own, cross, [tuned["network"]["one_se"], tuned["network"]["min"]])
-            chosen = [("own_har", fitted(own, none, [0.0])[0], own, none), ("network_1se", pair[0], own, cross), ("network_min", pair[1], own, cross)]
-            if aggregate:
-                chosen.append(("aggregate_har", fitted(with_aggregate, none, [0.0])[0], with_aggregate, none))
-                chosen.append(("hybrid_har", fitted(with_aggregate, cross, [tuned["hybrid"]["one_se"]])[0], with_aggregate, cross))
-            if local:
-                chosen.append(("local_har", fitted(with_local, none, [0.0])[0], with_local, none))
-            base = {"symbol": symbol, "origin_no": int(sessions[i]), "target_no": int(targets[i]), "n_train": len(a), "tuning_block": int(block)}
-            out.append(base | {"model": "persistence", "log_forecast": float(own[i, 0]), "forecast": lasso.level(float(own[i, 0]), 1.0), "penalty": 0.0, "n_selected": 0, "tuning_status": "none"})
-            for model, fit, o, c in chosen:
-                log_forecast = float(lasso.predict(fit, o[i : i + 1], c[i : i + 1])[0])
-                status = tuned["hybrid" if model == "hybrid_har" else "network"]["status"] if c.shape[1] else "none"
-                out.append(base | {"model": model, "log_forecast": log_forecast, "forecast": lasso.level(log_forecast, lasso.smearing(fit, o[a], c[a], y[a])), "penalty": float(fit["alpha"]), "n_selected": int((np.abs(fit["cross"]) > 0).sum()), "tuning_status": status})
-        return pd.DataFrame(out)
+        symbol, turn = key
+        terms = np.stack(part["terms"].to_numpy()).astype(float)
+        mine = np.arange(3 * at[symbol], 3 * at[symbol] + 3)
+        y, sessions, targets, block = (part[c].to_numpy() for c in ("response", "session_no", "target_no", "block"))
+        ok = np.isfinite(y.astype(float))
+        x = np.column_stack([np.ones(len(part)), terms[:, mine], part[list(aggregate)].to_numpy(float), part[list(local)].to_numpy(float), np.delete(terms, mine, 1)])
+        history = lasso.History(x[ok, 1:], np.zeros((ok.sum(), 0)), y[ok].astype(float))
+        # Targets follow their origins' order, so what an origin knows is a beginning of the history.
+        known = np.searchsorted(targets[ok], sessions, "right")
+        own = np.arange(4)
+        more, near, cross = np.split(np.arange(4, x.shape[1]), [len(aggregate), len(aggregate) + len(local)])
+        last = np.array([x.shape[1]])
+        # Columns that aren't penalised and that are, and the models fitted on them with the rule of their penalty.
+        kinds = [(own, cross[:0], (("own_har", None),)), (own, cross, (("network_1se", "one_se"), ("network_min", "min")))]
+        if aggregate:
+            with_aggregate = np.concatenate([own, more])
+            kinds += [(with_aggregate, cross[:0], (("aggregate_har", None),)), (with_aggregate, cross, (("hybrid_har", "one_se"),))]
+        if local:
+            kinds.append((np.concatenate([own, near]), cross[:0], (("local_har", None),)))
+        first = part["from_block"].iloc[0] if resuming else np.nan
+        issued = (known >= LEAST) & ((block >= first) | pd.isna(first)) & (block % part["slices"].iloc[0] == turn)
+        mine_blocks, parts = np.unique(block[issued]), []
+        for some in (mine_blocks[i : i + BLOCKS_AT_ONCE] for i in range(0, len(mine_blocks), BLOCKS_AT_ONCE)):
+            origins = np.flatnonzero(issued & (block >= some[0]) & (block <= some[-1]))
+            ns, of = known[origins], np.searchsorted(some, block[origins])
+            heads = ns[np.searchsorted(of, np.arange(len(some)))]  # a block is tuned once, at its first origin
+            grams, fits = history.grams(ns), []
+            for free, penalised, models in kinds:
+                pick = np.concatenate([free, penalised, last])
+                tuned = lasso.tune_all(history, heads, pick, len(free)) if len(penalised) else []
+                alphas = np.array([[tuned[i][rule] if rule else 0.0 for _, rule in models] for i in of])
+                b = lasso.path_all(grams[:, pick[:, None], pick], ns, len(free), alphas)
+                for k, (model, rule) in enumerate(models):
+                    whole = np.zeros((len(origins), x.shape[1]))
+                    whole[:, pick[:-1]] = b[:, k]
+                    fits.append((model, whole, alphas[:, k], (np.abs(b[:, k, len(free) :]) > 0).sum(1), [tuned[i]["status"] if rule else "none" for i in of]))
+            smears = lasso.smearing_all(history, ns, np.stack([f[1] for f in fits]), [np.flatnonzero(of == i) for i in range(len(some))])
+            base = {"symbol": symbol, "origin_no": sessions[origins].astype(int), "target_no": targets[origins].astype(int), "n_train": ns, "tuning_block": block[origins].astype(int)}
+            level = x[origins, 1]
+            parts.append(pd.DataFrame(base | {"model": "persistence", "log_forecast": level, "forecast": lasso.levels(level, 1.0), "penalty": 0.0, "n_selected": 0, "tuning_status": "none"}))
+            for (model, whole, alpha, selected, status), smear in zip(fits, smears):
+                level = history.base[-1] + ((x[origins] - history.base[:-1]) * whole).sum(1)
+                parts.append(pd.DataFrame(base | {"model": model, "log_forecast": level, "forecast": lasso.levels(level, smear), "penalty": alpha, "n_selected": selected, "tuning_status": status}))
+        return pd.concat(parts) if parts else pd.DataFrame([])
 
     schema = "symbol string, origin_no int, target_no int, model string, n_train int, log_forecast double, forecast double, penalty double, n_selected int, tuning_block bigint, tuning_status string"
-    return dealt(spread, "symbol", "for_block").groupBy("symbol", "for_block").applyInPandas(run, schema)
+    spread = rows if since is None else rows.join(since, "symbol", "left")
+    return sliced(spread, "symbol", groups=len(symbols)).groupBy("symbol", "slice").applyInPandas(run, schema)
 
 
 def resumed(rows: DataFrame, symbols: list[str], every: int, path: str, aggregate: list[str] = (), local: list[str] = ()) -> DataFrame:

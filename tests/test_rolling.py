@@ -163,3 +163,28 @@ def test_checkpoint_networks_from_one_history(spark):
     copies = tasks.sliced(blocks, "symbol", groups=2)
     n = copies.first()["slices"]
     assert copies.count() == n * blocks.count() and copies.select("slice").distinct().count() == n
+
+
+def test_forecasts_from_one_history(spark):
+    """Origins fitted as a stack along a history equal fits of each origin's own rows."""
+    symbols, blocks = ["a", "b"], har_rows(spark, 120).withColumn("f_d", F.sin(F.col("session_no") * 1.7))
+    got = {(r.symbol, r.origin_no, r.model): r for r in issuance.forecasts(blocks, symbols, 20, ["f_d"], ["f_d"]).collect()}
+    rows, n = blocks.toPandas().sort_values("session_no"), 0
+    for i, symbol in enumerate(symbols):
+        p = rows[rows["symbol"] == symbol]
+        terms, y, sessions, targets, f = np.array(p["terms"].tolist()), p["response"].to_numpy(), p["session_no"].to_numpy(), p["target_no"].to_numpy(), p[["f_d"]].to_numpy()
+        own, cross, head, none = terms[:, 3 * i : 3 * i + 3], np.delete(terms, np.s_[3 * i : 3 * i + 3], 1), None, np.zeros((len(p), 0))
+        for at in range(len(p)):
+            a = np.flatnonzero(np.isfinite(y) & (targets <= sessions[at]))
+            if len(a) < issuance.LEAST:
+                continue
+            block = p["block"].iloc[at]
+            if head is None or head[0] != block:
+                head = block, lasso.tune(own[a], cross[a], y[a]), lasso.tune(np.column_stack([own, f])[a], cross[a], y[a])
+            for model, o, c, alpha in (("own_har", own, none, 0.0), ("network_1se", own, cross, head[1]["one_se"]), ("network_min", own, cross, head[1]["min"]), ("local_har", np.column_stack([own, f]), none, 0.0), ("aggregate_har", np.column_stack([own, f]), none, 0.0), ("hybrid_har", np.column_stack([own, f]), cross, head[2]["one_se"])):
+                fit, r = lasso.path(lasso.Sample.of(o[a], c[a], y[a]), [alpha])[0], got[symbol, sessions[at], model]
+                log_forecast = float(lasso.predict(fit, o[at : at + 1], c[at : at + 1])[0])
+                assert r.n_train == len(a) and r.tuning_block == block and np.isclose(r.penalty, alpha, atol=1e-9)
+                assert np.isclose(r.log_forecast, log_forecast, atol=1e-4) and np.isclose(r.forecast, lasso.level(log_forecast, lasso.smearing(fit, o[a], c[a], y[a])), rtol=2e-4)
+                n += 1
+    assert n > 100 and len(got) == n + n // 6
