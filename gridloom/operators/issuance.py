@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import lasso
 from gridloom.operators.har import HORIZONS, by_symbol, features
-from gridloom.operators.tasks import dealt, sliced
+from gridloom.operators.tasks import sliced, slices
 from gridloom.sources import ledgers
 
 TERMS = ("d", "w", "m")
@@ -189,39 +189,48 @@ def edge_bootstrap(rows: DataFrame, symbols: list[str], replications: int, lengt
     month, at = HORIZONS["m"], {s: i for i, s in enumerate(symbols)}
     # Origins are counted on the calendar: the first is the session that ends the first full month.
     last = rows.agg((F.max("session_no") - month).cast("int").alias("last"))
-    steps = F.array_distinct(F.concat(F.sequence(F.lit(first), "last", F.lit(every)), F.array("last")))
-    checkpoints = F.filter(steps, lambda c: c > F.col("session_no") - month)
-    known = rows.filter("response is not null").join(F.broadcast(last.filter(F.col("last") >= first)))
-    spread = known.withColumn("checkpoint", F.explode(checkpoints)).drop("last")
-    longest = spread.groupBy("checkpoint", "symbol").count().groupBy("checkpoint").agg(F.max("count").alias("longest"))
-    spread = spread.join(longest, "checkpoint")
-
-    def run(key, part):
-        symbol, checkpoint = key
+    steps = last.filter(F.col("last") >= first).select(F.explode(F.array_distinct(F.concat(F.sequence(F.lit(first), "last", F.lit(every)), F.array("last")))).alias("checkpoint"))
+    known = rows.filter("response is not null")
+    # Rows by the checkpoint that is the first to know them, added up: how many each target has at each checkpoint.
+    before = F.greatest(F.ceil((F.col("session_no") - month + 1 - first) / every), F.lit(0)) * every + first
+    met = known.join(F.broadcast(last), F.col("session_no") - month < F.col("last")).groupBy("symbol", F.least(before, "last").alias("met")).agg(F.count(F.lit(1)).alias("k"))
+    counts = steps.join(met, F.col("met") <= F.col("checkpoint")).groupBy("checkpoint", "symbol").agg(F.sum("k").alias("n"))
+    longest = counts.groupBy("checkpoint").agg(F.max("n").cast("int").alias("longest"))
+    spread = sliced(known, "symbol", groups=len(symbols))
+
+    def run(key, part, points):
+        symbol, turn = key
         part = part.sort_values("session_no")
-        terms, y = np.array(part["terms"].tolist(), float), part["response"].to_numpy(float)
-        if len(y) < first:
+        if not len(part) or not len(points):
             return pd.DataFrame([])
+        points = points.sort_values("checkpoint")
+        terms, y, sessions = np.stack(part["terms"].to_numpy()).astype(float), part["response"].to_numpy(float), part["session_no"].to_numpy()
         mine = np.arange(3 * at[symbol], 3 * at[symbol] + 3)
-        own, cross = terms[:, mine], np.delete(terms, mine, 1)
-        penalty = lasso.tune(own, cross, y)["one_se"] if fraction is None else fraction * lasso.top_penalty(lasso.Sample.of(own, cross, y))
-        names = [(s, t) for s in symbols if s != symbol for t in TERMS]
-        out = []
-        for length in lengths:
-            b = np.zeros((replications, len(names)))
-            for rep in range(replications):
+        history = lasso.History(terms[:, mine], np.delete(terms, mine, 1), y)
+        names, out = [(s, t) for s in symbols if s != symbol for t in TERMS], []
+        for checkpoint, longest in zip(points["checkpoint"], points["longest"]):
+            n = int(np.searchsorted(sessions, checkpoint + month, "left"))
+            if n < first:
+                continue
+            size = np.array([n])
+            penalty = lasso.tune_all(history, size)[0]["one_se"] if fraction is None else fraction * float(lasso.top_penalties(history.grams(size), size, history.own)[0])
+            for length in lengths:
                 if circular:
-                    draw = lasso.block_draw(np.random.default_rng([seed, int(checkpoint), rep]), int(part["longest"].iloc[0]), length, True) % len(y)
+                    draws = (lasso.block_draw(np.random.default_rng([seed, int(checkpoint), rep]), int(longest), length, True) % n for rep in range(replications))
                 else:
-                    draw = lasso.block_draw(np.random.default_rng([seed, int(checkpoint), length, at[symbol], rep]), len(y), length, False)
-                b[rep] = lasso.path(lasso.Sample.of(own[draw], cross[draw], y[draw]), [penalty])[0]["cross"]
-            base = {"checkpoint": int(checkpoint), "training_end": int(checkpoint) + month - 1, "n_train": len(y), "block_length": length, "penalty": penalty, "target": symbol}
-            chosen = (np.abs(b) > SELECTED).mean(0)
-            out += [base | {"source": s, "horizon": t.upper(), "n": replications, "selection_probability": float(chosen[j]), "n_positive": int((b[:, j] > 0).sum()), "n_negative": int((b[:, j] < 0).sum()), "median_coefficient": float(np.median(b[:, j]))} for j, (s, t) in enumerate(names)]
+                    draws = (lasso.block_draw(np.random.default_rng([seed, int(checkpoint), length, at[symbol], rep]), n, length, False) for rep in range(replications))
+                grams, drawn = lasso.resampled(history, draws, n)
+                b = lasso.path_all(grams, drawn, history.own, np.full((replications, 1), penalty))[:, 0, history.own :]
+                base = {"checkpoint": int(checkpoint), "training_end": int(checkpoint) + month - 1, "n_train": n, "block_length": length, "penalty": penalty, "target": symbol}
+                chosen, middle = (np.abs(b) > SELECTED).mean(0), np.median(b, 0)
+                out += [base | {"source": s, "horizon": t.upper(), "n": replications, "selection_probability": float(chosen[j]), "n_positive": int((b[:, j] > 0).sum()), "n_negative": int((b[:, j] < 0).sum()), "median_coefficient": float(middle[j])} for j, (s, t) in enumerate(names)]
         return pd.DataFrame(out)
 
     schema = "checkpoint int, training_end int, n_train int, block_length int, penalty double, target string, source string, horizon string, n bigint, selection_probability double, n_positive bigint, n_negative bigint, median_coefficient double"
-    return dealt(spread, "symbol", "checkpoint").groupBy("symbol", "checkpoint").applyInPandas(run, schema)
+    # A slice takes every so many-th checkpoint.
+    turn = (F.row_number().over(Window.orderBy("checkpoint")) - 1) % slices(rows.sparkSession, len(symbols))
+    turns = longest.withColumn("slice", turn.cast("int")).withColumn("symbol", F.explode(F.array(*map(F.lit, symbols))))
+    return spread.groupBy("symbol", "slice").cogroup(turns.select("symbol", "slice", "checkpoint", "longest").groupBy("symbol", "slice")).applyInPandas(run, schema)
 
 
 def sign_consistency(edges: DataFrame) -> DataFrame:

@@ -188,3 +188,28 @@ def test_forecasts_from_one_history(spark):
                 assert np.isclose(r.log_forecast, log_forecast, atol=1e-4) and np.isclose(r.forecast, lasso.level(log_forecast, lasso.smearing(fit, o[a], c[a], y[a])), rtol=2e-4)
                 n += 1
     assert n > 100 and len(got) == n + n // 6
+
+
+def test_edge_bootstrap_draws_of_the_longest_target(spark):
+    """A circular draw is as long as the most rows that any target has at the checkpoint, which leaves out rows that the last one doesn't know."""
+    blocks = har_rows(spark, 120).filter("symbol = 'a' or session_no not in (60, 70)")
+    got = {(r.checkpoint, r.target, r.horizon): r for r in issuance.edge_bootstrap(blocks, ["a", "b"], 9, 5, 3, True, 0.05, 40, 13).collect()}
+    rows, n = blocks.filter("response is not null").toPandas().sort_values("session_no"), 0
+    last = int(blocks.agg(F.max("session_no")).first()[0]) - 22
+    for checkpoint in [*range(40, last, 13), last]:
+        known = rows[rows["session_no"] - 22 < checkpoint]
+        for i, target in enumerate("ab"):
+            p = known[known["symbol"] == target]
+            if len(p) < 40:
+                continue
+            terms, y = np.array(p["terms"].tolist()), p["response"].to_numpy()
+            own, cross = terms[:, 3 * i : 3 * i + 3], np.delete(terms, np.s_[3 * i : 3 * i + 3], 1)
+            penalty, b = 0.05 * lasso.top_penalty(lasso.Sample.of(own, cross, y)), []
+            for rep in range(9):
+                draw = lasso.block_draw(np.random.default_rng([3, checkpoint, rep]), known.groupby("symbol").size().max(), 5, True) % len(y)
+                b.append(lasso.path(lasso.Sample.of(own[draw], cross[draw], y[draw]), [penalty])[0]["cross"])
+            for t, median in zip("DWM", np.median(b, 0)):
+                r = got[checkpoint, target, t]
+                assert r.n_train == len(y) and np.isclose(r.penalty, penalty) and np.isclose(r.median_coefficient, median, atol=1e-3)
+                n += 1
+    assert n == len(got) > 0
