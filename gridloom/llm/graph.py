@@ -12,16 +12,46 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import settle
 
 
+#: Edges (16 bytes each) up to which one task searches all components; beyond it, the rounds do.
+AT_ONCE = 1_000_000
+
+
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b) in order, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return nodes, nodes[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of `edges` (a, b: bigint); root is the smallest node that it reaches.
 
     Alternating large-star and small-star steps: every step points the neighbours of a node at the
     smallest of them, by partial minima and joins, so a node of very many links is no large row
-    anywhere.  Each round's edges are a table in the shared folder.
+    anywhere.  Each round's edges are a table in the shared folder.  Rounds cost some seconds whatever
+    their edges, so up to AT_ONCE of these go to one task, with the same result.
     """
     same = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = same(now)
+    if state[0] <= AT_ONCE:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if parts:
+                nodes, roots = roots_of(*(np.concatenate(x) for x in zip(*parts)))
+                for i in range(0, len(nodes), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(roots[i : i + (1 << 16)])], ["node", "root"])
+
+        return settle(now.coalesce(1).mapInArrow(run, "node bigint, root bigint"), "roots")
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -231,3 +231,25 @@ def test_mixing_takes_near_target(spark, monkeypatch, small):
 
 def test_mixing_draw_is_md5():
     assert int(hashlib.md5(b"gridloom-mix-1:17").hexdigest()[:13], 16) / (1 << 52) < 1
+
+
+@pytest.mark.parametrize("at_once", [graph.AT_ONCE, 0])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, at_once):
+    """The search in one task and the rounds give the same components; no edges, loops and repeats included."""
+    rng = random.Random(3)
+    links = [(rng.randrange(-500, 500) * 7, rng.randrange(-500, 500) * 7) for _ in range(420)]
+    links += links[:30] + [(b, a) for a, b in links[30:60]] + [(21, 21)] + [(10**12 + i, 10**12 + i + 1) for i in range(60)]
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
+    got = graph.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(7)).collect()
+    expected = components({n for link in links if link[0] != link[1] for n in link}, [x for x in links if x[0] != x[1]])
+    assert {r.node: r.root for r in got} == expected and len(got) == len(expected)
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(300)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("components", "")
+    graph.components(links).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 12
