@@ -9,13 +9,15 @@ pairs that have seen different documents is what toxic texts have in common.  Ea
 their mean over ordinary calibrating windows.
 
 Pairs are asked one after the other: a window whose mean saving so far is under `LOOK` bytes counts as 0 and is
-not asked further, everywhere alike.  A text's measures are the shares of its windows that save at
+not asked further, everywhere alike.  The toxic dictionary is asked first: as no frame is longer than the window
+stored plainly, it often shows alone that a window can't reach LOOK.  A text's measures are the shares of its windows that save at
 least each of `STEPS` bytes, the largest saving, and the sum of the savings of at least a calibrated
 threshold; a logistic curve, fitted on labelled documents that no dictionary has seen, turns them into the score.
 
 Fitting uses at most `max_rows` distinct labelled (id, text) rows of each class, chosen by a hash, less near copies
 of one another; nothing else is bounded.  Dictionaries are trained by tasks, one each, and only they, three hashes
-a row and the measures of calibrating rows reach the driver.
+a row and the measures of calibrating rows reach the driver.  Texts are scored in the order of their beginnings, as copies and
+near copies have most windows in common and a window is compressed once a chunk; no score depends on that order.
 
 Defined results: null and empty texts have no windows and get the score of a text that saves nothing; a null id
 counts as the empty text for the fold; null labels are not learned from; an id with several labels is toxic if one says so;
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -45,7 +48,8 @@ SIZE, SEGMENT, DMER = 65536, 64, 8
 STEPS = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
 LEAST_GAINS = tuple(x / 4 for x in range(2, 24))
 OUTER = ".,;:!?%*&$#\"'()[]{}|-_<>/\\"
-CHUNK = 20_000
+CHUNK, CHUNK_CHARS = 100_000, 1 << 24
+BEGINNING = 32
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -66,14 +70,30 @@ def trained(samples: list[bytes], size: int = SIZE) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def compressor(dictionary: bytes) -> Callable[[bytes], bytes]:
+def sizes(dictionary: bytes) -> Callable[[list[bytes]], np.ndarray]:
+    """A function from windows to the bytes of each when it is compressed, by itself, with the dictionary."""
     params = zs.ZstdCompressionParameters(
         strategy=zs.STRATEGY_BTOPT, window_log=20, hash_log=15, chain_log=17, search_log=4, min_match=3, target_length=64,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS,
     )
     held = zs.ZstdCompressionDict(dictionary)
     held.precompute_compress(compression_params=params)
-    return zs.ZstdCompressor(dict_data=held, compression_params=params).compress
+    frames = zs.ZstdCompressor(dict_data=held, compression_params=params).multi_compress_to_buffer
+
+    def asked(found: list[bytes]) -> np.ndarray:
+        if not found:
+            return np.zeros(0, np.int64)
+        n = np.fromiter(map(len, found), np.uint64, len(found))
+        places = np.column_stack([np.cumsum(n) - n, n])
+        return np.fromiter(map(len, frames(zs.BufferWithSegments(b"".join(found), places.tobytes()))), np.int64, len(found))
+
+    return asked
+
+
+def longest(found: list[bytes]) -> np.ndarray:
+    """The most bytes that each window's frame can have: stored plainly in one block, or the library's bound where blocks may be several."""
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return np.where(n <= 1024, n + 5, n + (n >> 8) + 64)
 
 
 @dataclass(frozen=True)
@@ -84,59 +104,64 @@ class Pair:
     toxic: bytes
     bias: float = 0.0
 
-    def difference(self) -> Callable[[bytes], int]:
-        """A function from a window to the bytes that the toxic dictionary makes it shorter."""
-        ordinary, toxic = compressor(self.ordinary), compressor(self.toxic)
-        return lambda window: len(ordinary(window)) - len(toxic(window))
+    def difference(self) -> Callable[[list[bytes]], np.ndarray]:
+        """A function from windows to the bytes that the toxic dictionary makes each shorter."""
+        ordinary, toxic = sizes(self.ordinary), sizes(self.toxic)
+        return lambda found: ordinary(found) - toxic(found)
 
 
-def saver(pairs: tuple[Pair, ...]) -> Callable[[list[bytes]], list[float]]:
+def saver(pairs: tuple[Pair, ...]) -> Callable[[list[bytes]], np.ndarray]:
     """A function from windows to what the toxic dictionaries save in each, in bytes a pair."""
     if not pairs:
-        return lambda found: [0.0] * len(found)
-    steps = [(p.difference(), p.bias, LOOK * k) for k, p in enumerate(pairs, 1)]
-
-    def gains(found: list[bytes]) -> list[float]:
-        # Pair by pair over all windows: the tables of two dictionaries fit a core's cache, those of all don't.
-        saved = dict.fromkeys(found, 0.0)
-        left = list(saved)
-        for difference, bias, least in steps:
-            so_far = [saved[w] + difference(w) - bias for w in left]
-            saved.update((w, g if g >= least else 0.0) for w, g in zip(left, so_far))
-            left = [w for w, g in zip(left, so_far) if g >= least]
-        return [saved[w] / len(steps) for w in found]
+        return lambda found: np.zeros(len(found))
+    steps = [(sizes(p.toxic), sizes(p.ordinary), p.bias, LOOK * k) for k, p in enumerate(pairs, 1)]
+
+    def gains(found: list[bytes]) -> np.ndarray:
+        # One dictionary at a time over all windows: its tables fit a core's cache, those of several don't.
+        index: dict[bytes, int] = {}
+        at = [index.setdefault(w, len(index)) for w in found]
+        left, asked, saved = list(index), np.arange(len(index)), np.zeros(len(index))
+        for toxic, ordinary, bias, least in steps:
+            most, short, so_far = longest(left), toxic(left), saved[asked]
+            saved[asked] = 0.0
+            hope = so_far + (most - short) - bias >= least
+            left, asked = list(compress(left, hope.tolist())), asked[hope]
+            so_far = so_far[hope] + (ordinary(left) - short[hope]) - bias
+            enough = so_far >= least
+            left, asked = list(compress(left, enough.tolist())), asked[enough]
+            saved[asked] = so_far[enough]
+        return saved[at] / len(steps)
 
     return gains
 
 
-def each(gains: Callable[[list[bytes]], list[float]], texts: Iterable[str | None]) -> Iterator[list[float]]:
-    """The savings of every text's windows, looked up for about CHUNK windows at once."""
-    held: list[list[bytes]] = []
+def each(gains: Callable[[list[bytes]], np.ndarray], texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The savings of every text's windows, looked up for about CHUNK windows, or CHUNK_CHARS characters, at once."""
+    held: list[bytes] = []
+    ends: list[int] = []
+    chars = 0
 
-    def flush() -> Iterator[list[float]]:
-        flat = gains([w for found in held for w in found])
-        at = 0
-        for found in held:
-            yield flat[at : at + len(found)]
-            at += len(found)
+    def flush() -> Iterator[np.ndarray]:
+        yield from np.split(gains(held), ends)[:-1]
         held.clear()
+        ends.clear()
 
-    n = 0
     for text in texts:
-        held.append(windows(text))
-        n += len(held[-1])
-        if n >= CHUNK:
+        held += windows(text)
+        ends.append(len(held))
+        chars += len(text or "")
+        if len(held) >= CHUNK or chars >= CHUNK_CHARS:
             yield from flush()
-            n = 0
+            chars = 0
     yield from flush()
 
 
-def measures(gains: list[float]) -> list[float]:
-    """Shares of windows that save STEPS, the largest saving, then the sums over each of LEAST_GAINS."""
-    x = np.asarray(gains, float)
-    n = max(len(x), 1)
-    most = max(float(x.max()), 0.0) if len(x) else 0.0
-    return [math.sqrt(float((x >= s).sum()) / n) for s in STEPS] + [math.log1p(most)] + [math.log1p(float(x[x >= least].sum())) for least in LEAST_GAINS]
+def measures(gains: np.ndarray, least_gains: tuple[float, ...] = LEAST_GAINS) -> list[float]:
+    """Shares of windows that save STEPS, the largest saving, then the sums over each of `least_gains`."""
+    n = max(len(gains), 1)
+    x = gains[gains > 0]  # nothing else counts in any measure
+    most = float(x.max()) if len(x) else 0.0
+    return [math.sqrt(float((x >= s).sum()) / n) for s in STEPS] + [math.log1p(most)] + [math.log1p(float(x[x >= least].sum())) for least in least_gains]
 
 
 @dataclass(frozen=True)
@@ -148,12 +173,11 @@ class Model:
     slopes: tuple[float, ...]
     offset: float
 
-    def score(self, gains: list[float]) -> float:
+    def score(self, gains: np.ndarray) -> float:
         """A text's score between 0 and 1 from its windows' savings."""
         if not self.pairs:
             return self.offset
-        fixed, m = len(STEPS) + 1, measures(gains)
-        z = sum(a * v for a, v in zip(self.slopes, [*m[:fixed], m[fixed + self.threshold]])) + self.offset
+        z = sum(a * v for a, v in zip(self.slopes, measures(gains, LEAST_GAINS[self.threshold : self.threshold + 1]))) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -254,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
         asked = [p.difference() for p in pairs]
         for batch in batches:
             found = [w for text in batch.column(0) for w in windows(text.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([[sum(map(d, found)) for d in asked]], pa.list_(pa.int64()))], ["n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([[int(d(found).sum()) for d in asked]], pa.list_(pa.int64()))], ["n", "sums"])
 
     sums = held.filter("toxic = 0").select("text").mapInArrow(differences, "n bigint, sums array<bigint>").collect()
     n = sum(r["n"] for r in sums)
@@ -271,6 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
     return calibrated(pairs, sorted((int(r["toxic"]), list(r["measures"])) for r in found), share, totals)
 
 
+def together(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows in the order of their texts' beginnings; by ranges with the id's hash behind, so many copies of one text are dealt to several tasks."""
+    beginning = F.substring(text_col, 1, BEGINNING)
+    return rows.repartitionByRange(beginning, F.xxhash64(id_col)).sortWithinPartitions(beginning)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, held_out, score and predicted for every row of `docs`."""
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double"
@@ -282,4 +312,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], [id_col, "held_out", "score"])
 
     rows = docs.select(id_col, (crc_remainder(id_col, 5) == 0).alias("held_out"), text_col)
+    if model.pairs:
+        rows = together(rows, id_col, text_col)
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard as zs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, langid, toxicity
@@ -130,6 +131,43 @@ def test_toxicity_brute_force(spark, monkeypatch):
     assert np.mean([(out[i] >= 0.5) == bool(t) for i, _, t in rows[:400]]) > 0.9
 
 
+def test_toxicity_compresses_no_more_than_it_must(monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, rng.integers(3, 9)).astype(np.uint8)) for _ in range(300)]
+    text = [[b" " + b" ".join(rng.choice(words[at : at + 200], 4)) + b" " for _ in range(3000)] for at in (0, 100)]
+    pairs = tuple(toxicity.Pair(*(toxicity.trained(t[k::2]) for t in text), 0.25 - k) for k in range(2))
+    noise = [rng.bytes(n) for n in (*range(1, 1100), 5000, 140_000, 3_000_000)]
+    found = [*text[0][:300], *text[1][:300], *noise, *text[1][:300]]
+    asked, frames = [], toxicity.sizes
+
+    def counted(dictionary):
+        size = frames(dictionary)
+        return lambda some: [asked.append((dictionary, w)) for w in some] and size(some) if some else size(some)
+
+    monkeypatch.setattr(toxicity, "sizes", counted)
+    got = toxicity.saver(pairs)(found)
+    assert got.tolist() == [plain_saving(pairs, w) for w in found]
+    assert len(set(asked)) == len(asked)
+    first = {d: sum(a == d for a, _ in asked) for d in (pairs[0].ordinary, pairs[0].toxic)}
+    assert first[pairs[0].toxic] == len(set(found)) and first[pairs[0].ordinary] < 700
+    assert all((frames(p.ordinary)(noise) <= toxicity.longest(noise)).all() for p in pairs)
+
+
+def test_toxicity_puts_copies_together(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, f"{i % 500} text that {i % 500} others share, and {i} of its own") for i in range(4000)] + [(i, "one of very many") for i in range(4000, 8000)] + [(None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+        out = toxicity.together(docs, "doc_id", "text").select("*", F.spark_partition_id().alias("at")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == len(rows) and {(r.doc_id, r.text) for r in out} == set(rows)
+    places = {}
+    for r in out:
+        places.setdefault((r.text or "")[: toxicity.BEGINNING], set()).add(r["at"])
+    assert len(places["one of very many"]) > 1 and sum(len(v) for k, v in places.items() if k != "one of very many") < 1.2 * len(places)
+
+
 def test_toxicity_bound_holds_under_repeated_ids(spark):
     docs = spark.createDataFrame([(i % 3, f"text {i} of many") for i in range(600)] + [(1, "same text")] * 200, "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0)] * 5, "doc_id long, toxic int")
